@@ -24,8 +24,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(col):
-    """Lower-case A-Z and nothing else."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z; other letters may change case too, but none of them becomes ASCII.
+
+    Only U+0130 and U+212A have lower case in ASCII; texts with them take the slow, exact way.
+    """
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    odd = F.contains(col, F.lit("\u0130")) | F.contains(col, F.lit("\u212a"))
+    return F.when(odd, F.translate(col, upper, upper.lower())).otherwise(F.lower(col))
 
 
 def fresh(name: str, columns) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, licenses, sharding
 from .common import documents
 
 
@@ -27,5 +27,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every text."""
+    return licenses.report(licenses.scan(documents(spark, sf_dir).select("doc_id", "text")), "doc_id")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard(documents(spark, sf_dir).select("doc_id", "text")).drop("position")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_licenses": op2_licenses,
+    "op5_sharding": op5_sharding,
+}
 ORACLES: dict[str, str] = {}
