@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, sharding
+from . import bpe, licenses, mixing, sharding, simhash
 from .common import documents
 
 
@@ -37,9 +37,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir).select("doc_id", "text")).drop("position")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
+    "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
+    "op7_simhash": op7_simhash,
 }
 ORACLES: dict[str, str] = {}
