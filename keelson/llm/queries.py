@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, sharding, simhash
-from .common import documents
+from . import bpe, licenses, mixing, pii, sharding, simhash
+from .common import checkpoint, documents
 
 
 def tokenizer_path() -> str:
@@ -47,11 +47,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans by kind, and all spans."""
+    found = checkpoint(pii.candidates(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    model = pii.fit(found)
+    base = F.filter("candidates", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = pii.digest(pii.accepted(model, F.col("candidates"))).alias("spans")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(pii.digest(base), 256).alias("base_sha256"), spans)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
+    "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
 }
 ORACLES: dict[str, str] = {}
