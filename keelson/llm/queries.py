@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, pii, sharding, simhash
+from . import bpe, langid, licenses, mixing, pii, sharding, simhash, vecdup
 from .common import checkpoint, documents
 
 
@@ -57,6 +57,18 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(pii.digest(base), 256).alias("base_sha256"), spans)
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vecdup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
@@ -64,5 +76,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
+    "op8_vectors": op8_vectors,
+    "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {}
