@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, pii, sharding, simhash, vecdup
+from . import bpe, langid, licenses, media, mixing, pii, sharding, simhash, toxicity, vecdup
 from .common import checkpoint, documents
 
 
@@ -69,14 +69,29 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a motion-JPEG clip, stored and read back, as digests."""
+    return media.round_trip(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    scored = toxicity.score(docs.select("doc_id", toxicity.held_out("doc_id", 3, 1).alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
+    "op4_media": op4_media,
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
     "op8_vectors": op8_vectors,
+    "op9_toxicity": op9_toxicity,
     "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {}
