@@ -114,9 +114,12 @@ def find_terms(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
 def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the class of each row, and how often voters fire by class (2 x voters).
 
+    A last voter is added, against: it fires where no other does.
+
     Labels only start the estimate and keep a weight of one half against the votes; what the
     classes' votes share beyond independence is discounted by voter.
     """
+    fires = np.column_stack([fires, fires.sum(axis=1) == 0]).astype(float)
     post = np.where(labels == 1, 0.9, 0.1)
     for _ in range(rounds):
         mass = np.stack([1 - post, post])
@@ -129,7 +132,7 @@ def label_model(fires: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tupl
         dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         together = np.abs(cov / np.outer(dev, dev))
         discount = 1 / (1 + np.maximum(together - 0.1, 0).sum(axis=1) - 0.9)
-        evidence = fires @ (discount * np.log(rate[1] / rate[0])) + (1 - fires) @ (discount * np.log((1 - rate[1]) / (1 - rate[0])))
+        evidence = fires @ (discount * np.log(rate[1] / rate[0]))  # a voter that does not fire abstains
         known = 0.5 * np.log(0.9 / 0.1) * (2 * labels - 1)
         post = 1 / (1 + np.exp(-np.clip(evidence + np.log(prior / (1 - prior)) + known, -30, 30)))
     return post, rate
