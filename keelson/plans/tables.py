@@ -48,7 +48,7 @@ NULLS = "(SELECT event_id, user_id, nullif(event_type, 'error') AS event_type, C
 def _pred(name: str, table: str, columns: str, predicate: E.Expr, where: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = events_with_nulls(spark, sf_dir) if table == "nulls" else read(spark, sf_dir, table)
-        return df.filter(E.to_column(E.simplify(predicate))).select(columns.split(", "))
+        return df.filter(E.to_filter(E.simplify(predicate))).select(columns.split(", "))
 
     QUERIES[name] = run
     ORACLES[name] = f"SELECT {columns} FROM {NULLS if table == 'nulls' else table} WHERE {where}"

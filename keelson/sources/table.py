@@ -233,7 +233,7 @@ class Table:
             parts = [] if where is None else where.args if where.op == "and" else [where]
             early = [p for p in parts if E.only_keys(p, set(keys))]
             if early:
-                df = df.filter(E.to_column(E.and_(*early)))
+                df = df.filter(E.to_filter(E.and_(*early)))
             if len(segs) > 1:
                 df = newest(df, keys, F.col("_seq"))
             df = df.filter("_op_type <> 'DELETE'")
@@ -242,7 +242,7 @@ class Table:
             new = {c: F.when(hit, E.to_column(E.from_json(v)).cast(schema[c].dataType)).otherwise(F.col(c)) for c, v in u["set"].items()}
             df = df.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns])
         if where is not None:
-            df = df.filter(E.to_column(where))
+            df = df.filter(E.to_filter(where))
         shown = columns or schema.fieldNames()
         return df.select(*shown, *([c for c in HIDDEN if c in df.columns] if hidden else []))
 
