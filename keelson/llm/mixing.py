@@ -38,8 +38,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=COPIES) -> Data
     by_source = checkpoint(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     order = [F.col("source").isNull(), F.col("source")]
     ranged = checkpoint(by_source.repartitionByRange(16, *order).withColumn("part", F.spark_partition_id()))
-    counts = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # 16 rows
-    before = F.array(*[F.lit(sum(n for q, n in counts.items() if q < p)) for p in range(16)])
+    counts = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row per partition
+    before = F.array(*[F.lit(sum(n for q, n in counts.items() if q < p)) for p in range(max(counts, default=0) + 1)])
     rank = before[F.col("part")] + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     weight = F.array(*[F.lit(float(w)) for w in weights])[F.pmod(rank, F.lit(len(weights))).cast("int")]
     table = checkpoint(ranged.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).drop("part"))
