@@ -90,7 +90,9 @@ class Model:
         """texts: by language, in order of name."""
         from collections import Counter
 
-        self.languages = sorted(texts)
+        self.languages, self.letters = sorted(texts), ""
+        if not texts:
+            return
         common: Counter[str] = Counter()
         for ts in texts.values():
             for t in ts:
