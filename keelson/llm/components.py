@@ -16,6 +16,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     round is cut by a checkpoint; minima are combined before the shuffle.
     """
     edges = checkpoint(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     for _ in range(rounds):
         # large star: larger neighbours of u move to u's smallest neighbour, or to u itself

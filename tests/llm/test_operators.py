@@ -164,7 +164,7 @@ def test_pii(spark, docs, odd):
 
 def test_simhash(docs, odd, spark):
     near = docs.limit(20).select((F.col("doc_id") + 5000).alias("doc_id"), F.concat("text", F.lit(" tail")).alias("text"))
-    for df in (docs.select("doc_id", "text").union(near), odd.select("doc_id", "text"), docs.limit(0)):
+    for df in (docs.limit(60).select("doc_id", "text").union(near).union(odd.select("doc_id", "text")), docs.limit(0)):
         got = simhash.near_duplicates(df).collect()
         assert len(got) == df.count()
         fps = [int(r.fingerprint, 16) for r in got]
