@@ -92,7 +92,8 @@ def near_share(p: np.ndarray, most: int) -> np.ndarray:
 
 def allocate(n: int, table: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """The parts' bits and thresholds (-1: unused) of least estimated cost, over 1 to 5 parts."""
-    p = np.diag(table) / max(n, 1)
+    n = max(n, 1)  # costs of nothing would not tell the plans apart
+    p = np.diag(table) / n
     best = None
     for parts in range(2, distance + 2):
         groups = group_bits(n, table, parts)
