@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -30,8 +31,9 @@ from .common import checkpoint
 from .components import connected_components
 
 BLOCK = 2048
-#: Rows that a cell has on average, for vectors spread evenly.
-CELL = 12
+#: Rows that a cell has on average, for vectors spread evenly. Larger cells need fewer tables, so fewer copies
+#: of each row; smaller ones need fewer pairs, but the overhead of a group then outweighs them.
+CELL = 128
 #: Projections whose collisions are counted.
 LINES = 32
 
@@ -61,6 +63,7 @@ def plan_for(n: int, cosine: float, recall: float) -> Plan:
     return Plan(bits, tables, window, least, cosine)
 
 
+@lru_cache(maxsize=8)
 def lines(dim: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([plan.seed, dim])
     return rng.standard_normal((dim, LINES)), rng.standard_normal((dim, plan.tables * plan.bits))
