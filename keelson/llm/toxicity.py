@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-Voters are terms: whole words, and word beginnings (stems with many endings), found in labelled
-texts, a fixed lexicon, and a few patterns. A generative label model estimates by expectation-
+Voters are terms: whole words, word beginnings (stems with many endings), and families (a stem
+with several endings in one text, telling where single words do not), found in labelled texts; a
+fixed lexicon; and a few patterns. A generative label model estimates by expectation-
 maximisation how often each voter fires on either class, and discounts voters whose votes go
 together within the classes. A linear classifier is trained on its posterior labels and scores
 every whole text from its voters' hits.
@@ -27,7 +28,10 @@ from .common import fresh, slices
 from .langid import bounded_sample, held_out
 
 PER_CLASS = 2500
-VOTERS, STEMS = 192, (4, 5, 6, 7)
+VOTERS, STEMS = 192, (3, 4, 5, 6, 7)
+#: Endings of one stem that make a family, and the distinct words of a text that one of them may stand for: longer
+#: texts hold some by chance.
+FAMILY, SPREAD = 2, 200
 #: English insults that vote even where no label shows them.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "bastard", "asshole", "bitch", "dumbass", "imbecile", "cretin", "retard", "whore", "slut", "vermin")
 #: Patterns over the text as it stands.
@@ -35,9 +39,19 @@ PATTERNS = (r"(?i)\byou(?:'re| are) (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def is_family(endings: int, distinct: int) -> bool:
+    return endings >= FAMILY and endings * SPREAD >= distinct
+
+
 def terms_of(words: set[str]) -> set[str]:
-    """Words, and beginnings marked by a star."""
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
+    """Words, beginnings marked by a star, and families marked by two."""
+    out = set(words)
+    for n in STEMS:
+        for stem, endings in Counter(w[:n] for w in words if len(w) > n).items():
+            out.add(stem + "*")
+            if is_family(endings, len(words)):
+                out.add(stem + "**")
+    return out
 
 
 @dataclass
@@ -49,7 +63,7 @@ class Model:
 
     def __post_init__(self):
         self.place = {t: i for i, t in enumerate(self.terms)}
-        self.stems = {n: {t[:n] for t in self.terms if t[-1] == "*" and len(t) == n + 1} for n in STEMS}
+        self.stems = {n: {t[:n] for t in self.terms if t[-1] == "*" and len(t.rstrip("*")) == n} for n in STEMS}
         self.words = {t for t in self.terms if t[-1] != "*"}
         self.patterns = [re.compile(p) for p in PATTERNS]
 
@@ -61,10 +75,15 @@ class Model:
         hitting = set(fired)
         for n, stems in self.stems.items():
             if stems:
+                members: dict[str, list[str]] = {}
                 for w in distinct:
                     if len(w) > n and w[:n] in stems:
-                        fired.add(w[:n] + "*")
-                        hitting.add(w)
+                        members.setdefault(w[:n], []).append(w)
+                for stem, words_of in members.items():
+                    new = {stem + "*", stem + "**" if is_family(len(words_of), len(distinct)) else stem + "*"} & self.place.keys()
+                    if new:
+                        fired |= new
+                        hitting.update(words_of)
         hits = sum(map(words.count, hitting)) if len(hitting) < 20 else sum(w in hitting for w in words)
         out = [self.place[t] for t in fired]
         out += [len(self.terms) + i for i, p in enumerate(self.patterns) if p.search(text)]
@@ -84,6 +103,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights + self.bias, -30, 30)))
 
 
+def echoes(term: str, rows: list[int], chosen: str, chosen_rows: set[int]) -> bool:
+    """Whether a term says what a chosen one says: one's letters begin the other's, and they share nearly all texts."""
+    a, b = term.rstrip("*"), chosen.rstrip("*")
+    shared = len(chosen_rows.intersection(rows))
+    return (a.startswith(b) or b.startswith(a)) and shared >= 0.8 * (len(rows) + len(chosen_rows) - shared)
+
+
 def find_terms(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     """Terms of toxic texts that clean ones lack, chosen greedily until each toxic text has three or no term helps."""
     in_toxic = Counter(t for words in toxic for t in terms_of(words))
@@ -106,8 +132,9 @@ def find_terms(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
         if gain[best] < least:
             break
         chosen.append(best)
-        need[holds.pop(best)] -= 1
-        holds = {t: rows for t, rows in holds.items() if gain[t] >= least}
+        rows_of = set(holds.pop(best))
+        need[list(rows_of)] -= 1
+        holds = {t: rows for t, rows in holds.items() if gain[t] >= least and not echoes(t, rows, best, rows_of)}
     return chosen
 
 
