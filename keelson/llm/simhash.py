@@ -30,6 +30,8 @@ from .fingerprint import fingerprint
 BITS = 64
 #: Cost of shuffling one probe, relative to verifying one candidate.
 PROBE_COST = 20.0
+#: Fingerprints of more than this fraction of all rows (1 / HOT) are joined by broadcast.
+HOT = 1000
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", width: int = 4) -> DataFrame:
@@ -138,11 +140,14 @@ def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id",
     groups = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     found = checkpoint(links(groups, distance))
     comps = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    grouped = groups.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    grouped = groups.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
     heads = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    to_head = grouped.join(heads, "component").select("fp", "component_id")
-    # a fingerprint may hold a third of all rows: rows meet its component by fingerprint and salt
-    salts = 64
-    spread = to_head.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    own = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return own.join(spread, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    to_head = checkpoint(grouped.join(heads, "component").select("fp", "n", "component_id"))
+    # a fingerprint may hold a third of all rows: fewer than HOT can hold more than 1/HOT of them, and those are
+    # broadcast; the others meet their component by a plain join
+    most = (groups.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = to_head.filter(F.col("n") > most).select("fp", F.lit(True).alias("hot"), F.col("component_id").alias("hot_id"))
+    flagged = marked.join(F.broadcast(hot), "fp", "left")
+    rest = flagged.filter("hot is null").select("doc_id", "fp").join(to_head.filter(F.col("n") <= most), "fp").select("doc_id", "fp", "component_id")
+    every = flagged.filter("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).union(rest)
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -181,6 +181,14 @@ def test_simhash(docs, odd, spark):
         assert [r.component_id for r in got] == [least.get(g) for g in group]
 
 
+def test_rare_fingerprints_join_like_frequent_ones(odd, monkeypatch):
+    df = odd.union(odd.filter("doc_id = 4"))
+    rows = lambda: sorted(simhash.near_duplicates(df).collect(), key=str)
+    broadcast = rows()
+    monkeypatch.setattr(simhash, "HOT", 4)  # 9 rows: three hold one fingerprint, three another
+    assert rows() == broadcast and len(broadcast) == 9
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((150, 16))
@@ -214,6 +222,16 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd, none).filter("score > 0.01").count() == 0
 
 
+def test_families_need_several_endings_and_density():
+    few = {"stemone", "stemtwo"}
+    assert {"stem*", "stem**"} <= toxicity.terms_of(few)
+    assert "stem**" not in toxicity.terms_of({"stemone", "stem"})
+    long = few | {f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)}
+    assert "stem*" in toxicity.terms_of(long) and "stem**" not in toxicity.terms_of(long)
+    model = toxicity.Model(["stem**"])
+    assert model.votes("Stemone, stemtwo stemtwo")[0] == [0] and model.votes("stemone stem")[0] == []
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.filter(~langid.held_out()))
