@@ -1,0 +1,136 @@
+"""Near-duplicate groups at shingle similarity >= 0.8, every link verified.
+
+Documents are sets of five-word shingles. MinHash bands (24 bands of 6 minima) make candidates: a
+pair at Jaccard 0.8 shares no band with probability (1 - 0.8**6)**24 = 0.0007, at 0.85 with 0.00002.
+A link is a candidate pair whose exact Jaccard similarity is 0.8 or more; groups are the connected
+components of the links.
+
+Equal shingle sets are one node from the start. A large group is not paired: the members of a
+bucket are verified against one leader, then only pairs of a bucket that are not in one component
+yet are compared. Leaders change by round until those pairs are few, and then all of them are
+verified, so that the groups do not depend on the leaders.
+
+Defined results: null and wordless texts are one group; of fewer than five words the whole
+sequence is the only shingle; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint, slices
+from .components import connected_components
+
+WIDTH, BANDS, ROWS = 5, 24, 6
+#: Minima are taken over so many shingles at once; bounds memory on very long texts.
+CHUNK = 1 << 12
+#: Similarity of a link as a fraction, compared in whole numbers.
+NUM, DEN = 4, 5
+#: Leaders change while more pairs than this, times the bucket rows, are open; after ROUNDS all are verified anyway.
+OPEN, ROUNDS = 4, 12
+
+_rng = np.random.default_rng(5)
+_MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of one whole text; words as in ``fingerprint``."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in runs), np.uint64, len(words) - width + 1))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band, distinct between bands; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), CHUNK):
+        least = np.minimum(least, ((hashes[i : i + CHUNK, None] * _MUL + _ADD) >> np.uint64(20)).min(axis=0))
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _signatures(batches):
+    for batch in slices(batches, 512):
+        sets = [shingles(t.as_py()) for t in batch.column(2)]
+        digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+        size = pa.array([len(s) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digest, size, bands], ["doc_id", "row", "digest", "size", "bands"])
+
+
+def _sets(batches):
+    for batch in slices(batches, 512):
+        sets = pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "set"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have Jaccard similarity NUM / DEN or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(DEN * shared >= NUM * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def row_key() -> Column:
+    """128 bits of doc_id and text; null is told from the empty text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("|"), F.col("text").cast("string")), F.lit("")))))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """component and ``first`` (none, doc_id, row) of every distinct shingle set in ``docs``: its smallest doc_id, none last, and that document's row_key."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
+    marked = checkpoint(source.mapInArrow(_signatures, "doc_id long, row binary, digest binary, size long, bands array<long>"))
+    # all rows of a digest have one size and the same bands
+    nodes = checkpoint(marked.groupBy("digest").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    keys = nodes.select("node", "size", F.explode("bands").alias("key"))
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    members = checkpoint(keys.join(several, "key").select("key", "node", "size"))
+    wanted = nodes.select("node", "row").join(members.select("node").distinct(), "node")
+    texts = source.join(wanted, "row").select("node", "text")
+    sets = checkpoint(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]))
+    links, component = None, None
+    for turn in range(ROUNDS + 1):
+        now = members.withColumn("c", F.col("node"))
+        if component is not None:
+            now = members.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        kept = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("node", "size", "c"), F.xxhash64("node", F.lit(turn))).alias("lead")).filter("low < high")
+        now = checkpoint(now.join(kept.select("key", "lead"), "key"))
+        parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+        total = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+        rows, open_ = total.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
+        if not rows:
+            break
+        last = open_ <= OPEN * rows or turn == ROUNDS
+        if last:
+            left, right = now.select("key", F.col("node").alias("a"), F.col("size").alias("na"), F.col("c").alias("ca")), now.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("c").alias("cb"))
+            pairs = left.join(right, "key").filter("ca < cb")
+        else:
+            pairs = now.select(F.col("lead.node").alias("a"), F.col("lead.size").alias("na"), F.col("lead.c").alias("ca"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("c").alias("cb")).filter("ca <> cb")
+        fits = (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+        found = _verified(pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+        # what is known of earlier rounds stays as the edges from node to component
+        links = checkpoint(found if component is None else found.union(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        component = checkpoint(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct())
+        if last:
+            break
+    named = nodes.select("digest", "node")
+    if component is not None:
+        named = named.join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("node"))
+    firsts = marked.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return firsts.join(named, "digest").select(F.col("node").alias("component"), "first")
+
+
+def heads(docs: DataFrame) -> DataFrame:
+    """row_key of the document that stays of each group: the smallest doc_id, none last."""
+    return near_groups(docs).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, langid, licenses, media, mixing, pii, sharding, simhash, toxicity, vecdup
+from keelson.llm import bpe, langid, licenses, media, minhash, mixing, pii, sharding, simhash, toxicity, vecdup
 from keelson.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -262,3 +262,41 @@ def test_pipeline(spark):
         docs = out
     final = P.run(spark, SF)
     assert final.count() > 0 and "token_ids" in final.columns
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("open_", [4, 0])
+def test_near_copies_against_brute_force(spark, docs, odd, monkeypatch, open_):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(minhash, "OPEN", open_)  # 0: leaders change for ROUNDS rounds
+    rng, rows = random.Random(3), [tuple(r) for r in docs.limit(60).collect()]
+    base = [(i, [f"w{rng.randrange(10**6)}" for _ in range(200)]) for i in range(8)]
+    for i, words in base:  # copies of similarity 0.95 to 0.7
+        for k in range(9):
+            w = list(words)
+            for at in rng.sample(range(5, 195), k):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append((9000 + 20 * i + k, " ".join(w), "en", "a", 1))
+    line = "the same line of a page that is repeated " * 40  # over half of the shingle occurrences
+    rows += [(9900 + i, line + " ".join(f"own{i}_{k}" for k in range(60)), "en", "a", 1) for i in range(2)]
+    df = spark.createDataFrame(rows, DOCS).union(odd)
+    every = df.collect()
+    group = list(range(len(every)))
+    for i in range(len(every)):
+        for j in range(i):
+            if group[i] != group[j] and jaccard(every[i].text, every[j].text) >= 0.8:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want = {}
+    for g, r in zip(group, every):
+        key = (r.doc_id is None, r.doc_id or 0)
+        want[g] = min(want.get(g, key), key)
+    got = P.drop_near_copies(spark, df, SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want.values())
+    assert {9900, 9901} <= {r.doc_id for r in got}
+    assert P.drop_near_copies(spark, df.limit(0), SF).count() == 0
