@@ -57,9 +57,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=COPIES) -> Data
     return table.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
-    sizes = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")).alias("crc")))
+def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, **plan) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, and ``row_col`` if there is one."""
+    row = [row_col] if row_col else []
+    sizes = checkpoint(docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")).alias("crc")))
     plan_rows = targets(sizes, **plan)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan_rows = plan_rows.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("long"))
@@ -99,9 +100,9 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
         .otherwise(0)
     )
     rows = checkpoint(rows.withColumn("state", state).withColumn("left2", F.col("b2.left")).drop("b1", "b2", "left1"))
-    last = rows.filter("state = 2").withColumn("run", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "crc").rowsBetween(Window.unboundedPreceding, 0)))
+    last = rows.filter("state = 2").withColumn("run", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "crc", *row).rowsBetween(Window.unboundedPreceding, 0)))
     chosen = rows.filter("state < 2").withColumn("in", F.col("state")).unionByName(
         last.withColumn("in", (F.col("run") - F.col("size") / 2 <= F.col("left2")).cast("int")).drop("run")
     )
     copies = (F.col("whole") + F.when(F.col("p") > 0, F.col("in")).otherwise(0)).cast("long")
-    return chosen.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return chosen.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)

@@ -300,3 +300,17 @@ def test_near_copies_against_brute_force(spark, docs, odd, monkeypatch, open_):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want.values())
     assert {9900, 9901} <= {r.doc_id for r in got}
     assert P.drop_near_copies(spark, df.limit(0), SF).count() == 0
+
+
+def test_mixing_stage_takes_what_the_mix_allots(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    rows = [(None if k % 2 else k % 30, " ".join(f"t{rng.randrange(999)}" for _ in range(10)), "en", "abc"[k % 3], 1) for k in range(300)]
+    df = spark.createDataFrame(rows + rows[:30], DOCS).repartition(3).cache()
+    plan = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    out = P.mix_sources(spark, df, SF).collect()
+    assert {tuple(r)[1] for r in out} <= {r[1] for r in rows}
+    for r in plan:
+        got = 10 * sum(x.source == r.source for x in out)
+        assert got == r.taken and abs(got - r.target) <= 10
