@@ -12,6 +12,7 @@ SQL: dict[str, str | tuple[str, str | None]] = {
     "join_left": "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey",
     "join_right": "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000",
     "join_full": "SELECT a.c_custkey AS left_key, b.c_custkey AS right_key FROM (SELECT c_custkey FROM customer WHERE c_custkey < 60) a FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 40 AND 90) b ON a.c_custkey = b.c_custkey",
+    "join_full_all": "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'",
     "join_semi": ("SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
     "join_anti": ("SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",

@@ -411,6 +411,13 @@ def range_floor_lookup(spark, sf_dir):
     return routing.range_floor(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", ranges, "start", ["c_name"]).select("o_orderkey", "start")
 
 
+@query("SELECT o_orderkey, s AS start FROM orders ASOF JOIN (SELECT c_custkey * 10 AS s FROM customer) ON o_orderkey >= s")
+def range_floor_all(spark, sf_dir):
+    """Ranges of all customers: they grow with the orders, so that every range partition has its own."""
+    ranges = read(spark, sf_dir, "customer").select((F.col("c_custkey") * 10).alias("start"), "c_name")
+    return routing.range_floor(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", ranges, "start", ["c_name"]).select("o_orderkey", "start").filter("start is not null")
+
+
 @query("SELECT o_orderkey, event_id FROM (SELECT o_orderkey, o_custkey % 150 AS u, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * o_orderkey AS at FROM orders) o ASOF JOIN (SELECT user_id, ts, event_id FROM events) e ON o.u = e.user_id AND o.at >= e.ts")
 def join_asof(spark, sf_dir):
     """Each order's last event of its user before it: one sort per user instead of a range join."""
