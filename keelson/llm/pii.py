@@ -2,24 +2,34 @@
 
 Patterns propose candidate spans. Six labelers vote on each: format and checksum, gazetteers
 (top-level domains, calling codes, card issuers, countries), words before it for and against,
-what touches it, and its shape. How often each combination of votes occurs over all documents is
-a table of bounded size; expectation-maximisation on it estimates the labelers' reliabilities,
-and a logistic span classifier is trained on the posterior labels. Candidates that it accepts are
-reported beside the base spans, which are always reported.
+what touches it, and its shape. How often each combination of votes and of features occurs over
+all documents is a table of bounded size; expectation-maximisation on the votes estimates the
+labelers' reliabilities, and a logistic span classifier over votes and features of the span (its
+length, shares of digits and of capitals, changes between letters and digits) is trained on the
+posterior labels. Candidates that it accepts and no base span overlaps are reported beside the
+base spans, which are always reported. Work on a text grows with its length, or with the power
+1.5 of the number of its candidates.
 
 Defined results: null counts as empty: no spans; offsets count code points; repeated rows are
-each reported; nothing is shuffled but the counts of votes.
+each reported; columns of other names pass through, those named like a result keep their names;
+nothing is shuffled but the counts of votes and features.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bind, cut, pieces, places, scan
+from .common import fresh
+
+#: Code points before a span that labelers look at.
+BEFORE = 40
 #: Kinds in order of report; the first four have base spans.
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 VOTERS = ("format", "gazetteer", "context", "against", "touch", "shape")
@@ -29,8 +39,8 @@ PATTERN = {
     "card": r"[0-9][0-9 -]{11,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,40}[0-9])[A-Za-z0-9_]{20,80}(?![A-Za-z0-9_])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+",
 }
 #: What a text must have for a kind to be looked for.
 GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "ssn": "[0-9]-[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "secret": "[A-Za-z0-9_]{20}"}
@@ -57,21 +67,12 @@ CONTEXT = {
 AGAINST = r"version|isbn|order|invoice|serial|build|\bdoi|commit|hash|sha|md5|checksum"
 
 
-def places(text: Column, kind: str) -> Column:
-    """array<struct<start, end, hit>> of one kind's matches in order."""
+def found(text: Column, kind: str) -> Column:
+    """Matches of one kind in order, with what stands before and after them."""
     src = F.regexp_replace(text, *EXCHANGE[kind]) if kind in EXCHANGE else text
-    zipped = F.arrays_zip(F.split(src, PATTERN[kind], -1).alias("gap"), F.concat(F.regexp_extract_all(src, F.lit(PATTERN[kind]), F.lit(0)), F.array(F.lit(None).cast("string"))).alias("hit"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), x["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string>>)")
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
     gate = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(GATE[kind])
-    return F.when(gate, found).otherwise(empty)
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>)")
+    return F.when(gate, places(src, F.lit(PATTERN[kind]), F.length, BEFORE)).otherwise(none)
 
 
 def digits(hit: Column) -> Column:
@@ -88,6 +89,14 @@ def luhn(d: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), add) % 10 == 0
 
 
+def mod97(hit: Column) -> Column:
+    """Whether an IBAN's check digits are right: its first four characters moved to the end, letters counted from 10, leave 1."""
+    chars = F.split(F.regexp_replace(F.concat(F.substring(hit, 5, 60), F.substring(hit, 1, 4)), " ", ""), "")
+    code = lambda c: F.ascii(c) - 48
+    step = lambda acc, c: F.when(c == "", acc).when(code(c) < 10, (acc * 10 + code(c)) % 97).otherwise((acc * 100 + code(c) + 48 - 55) % 97)
+    return F.aggregate(chars, F.lit(0), step) == 1
+
+
 def valid(kind: str, hit: Column) -> Column:
     n = F.length(digits(hit))
     return {
@@ -96,16 +105,14 @@ def valid(kind: str, hit: Column) -> Column:
         "card": F.when(n.between(12, 19), luhn(digits(hit))).otherwise(False),
         "phone": n.between(9, 15),
         "ssn": ~hit.rlike("^(?:000|666|9)|-00-|-0000$"),
-        "iban": n >= 8,
+        "iban": F.length(F.replace(hit, F.lit(" "), F.lit(""))).between(15, 34) & mod97(hit),
         "secret": hit.rlike("[0-9]") & hit.rlike("[A-Za-z]"),
     }[kind]
 
 
-def votes(kind: str, text: Column, x: Column) -> Column:
-    """The labelers' votes on a candidate: 1 for, 0 against, -1 none."""
-    hit = x["hit"]
-    before = F.lower(F.substring(text, F.greatest(x["start"] - 39, F.lit(1)).cast("int"), F.least(x["start"], F.lit(40)).cast("int")))
-    after = F.substring(text, (x["end"] + 1).cast("int"), F.lit(1))
+def votes(kind: str, x: Column, right: Column) -> Column:
+    """The labelers' votes on a candidate: 1 for, 0 against, -1 none; right: whether it is valid."""
+    hit, before, after = x["hit"], F.lower(x["before"]), x["after"]
     yes_no = lambda c: c.cast("int")
     or_none = lambda c, v: F.when(c, v).otherwise(-1)
     gazetteer = {
@@ -123,11 +130,11 @@ def votes(kind: str, text: Column, x: Column) -> Column:
         "card": or_none(hit.rlike("^[0-9]{4}[ -][0-9]{4}[ -]|^[0-9]{13,19}$"), 1),
         "phone": or_none(hit.rlike("[ ().-]"), 1),
         "ssn": F.lit(1),
-        "iban": yes_no(F.length(hit).between(15, 34)),
+        "iban": or_none(hit.rlike("^[A-Z0-9]{4}(?: [A-Z0-9]{4})+|^[A-Z0-9]+$"), 1),
         "secret": yes_no(hit.rlike("^(?:[0-9a-f]{32,}|(?=.*[a-z])(?=.*[A-Z]).{20,})$")),
     }[kind]
     return F.array(
-        yes_no(valid(kind, hit)),
+        yes_no(right),
         gazetteer,
         or_none(before.rlike(CONTEXT[kind]), 1),
         or_none(before.rlike(AGAINST), 0),
@@ -136,22 +143,55 @@ def votes(kind: str, text: Column, x: Column) -> Column:
     )
 
 
-def candidates(docs: DataFrame, text_col: str = "text", out: str = "candidates") -> DataFrame:
-    """``docs`` with array<struct<start, ord, end, kind, base, votes>> in order of start, then kind."""
+def features(hit: Column) -> Column:
+    """Length, share of digits, share of capitals, and changes between letters and digits, each as a small number."""
+    size = F.length(hit)
+    share = lambda p: F.least(F.lit(LEVELS - 1), F.floor(LEVELS * (size - F.length(F.regexp_replace(hit, p, ""))) / size).cast("int"))
+    return F.array(
+        F.least(F.lit(LEVELS - 1), F.floor(F.log2(size.cast("double")) - 2).cast("int")),
+        share("[0-9]"),
+        share("[A-Z]"),
+        F.least(F.lit(LEVELS - 1), F.regexp_count(hit, F.lit("[0-9][A-Za-z]"))),
+    )
+
+
+def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with candidates: array<struct<start, ord, end, kind, base, free, votes, features>> in order of start, then kind.
+
+    free: no base span overlaps it.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def of(kind: str, ordinal: int) -> Column:
         def make(x: Column) -> Column:
-            base = valid(kind, x["hit"]) if ordinal < 4 else F.lit(False)
-            return F.struct(x["start"].alias("start"), F.lit(ordinal).alias("ord"), x["end"].alias("end"), F.lit(kind).alias("kind"), base.alias("base"), votes(kind, text, x).alias("votes"))
+            return bind(
+                valid(kind, x["hit"]),
+                lambda right: F.struct(x["start"].alias("start"), F.lit(ordinal).alias("ord"), x["end"].alias("end"), F.lit(kind).alias("kind"), (right if ordinal < 4 else F.lit(False)).alias("base"), F.lit(True).alias("free"), votes(kind, x, right).alias("votes"), features(x["hit"]).alias("features")),
+            )
+
+        return F.transform(found(text, kind), make)
+
+    def free(reach: Callable, overlaps: Callable) -> Callable:
+        """A pass that marks candidates which a base span met before overlaps."""
 
-        return F.transform(places(text, kind), make)
+        def step(far: Column, x: Column) -> Column:
+            return F.struct(F.when(x["base"], reach(far, x)).otherwise(far).alias("state"), x.withField("free", x["free"] & ~overlaps(far, x)).alias("out"))
 
-    found = F.array_sort(F.concat(*[of(k, i) for i, k in enumerate(KINDS)]))
-    return docs.withColumn(out, F.when(text.rlike("[0-9@]"), found).otherwise(F.expr(EMPTY)))
+        return step
 
+    def marked(every: Column) -> Column:
+        onward = scan(every, F.lit(-1).cast("long"), free(lambda far, x: F.greatest(far, x["end"]), lambda far, x: far > x["start"]), ONE)
+        back = scan(F.reverse(onward), F.lit((1 << 62)).cast("long"), free(lambda far, x: F.least(far, x["start"]), lambda far, x: far < x["end"]), ONE)
+        mixed = F.exists(every, lambda x: x["base"]) & F.exists(every, lambda x: ~x["base"])
+        return F.when(mixed, F.reverse(back)).otherwise(every)
 
-EMPTY = "cast(array() as array<struct<start:bigint,ord:int,end:bigint,kind:string,base:boolean,votes:array<int>>>)"
+    every = bind(F.array_sort(F.concat(*[of(k, i) for i, k in enumerate(KINDS)])), marked)
+    return docs.withColumn(fresh("candidates", docs.columns), F.when(text.rlike("[0-9@]"), every).otherwise(F.expr(f"cast(array() as array<{ONE}>)")))
+
+
+ONE = "struct<start:bigint,ord:int,end:bigint,kind:string,base:boolean,free:boolean,votes:array<int>,features:array<int>>"
+#: Features of a span, and the values that each can take.
+FEATURES, LEVELS = 4, 8
 
 
 @dataclass(frozen=True)
@@ -159,62 +199,55 @@ class Model:
     bias: tuple[float, ...]  # by kind
     weights: tuple[float, ...]  # by labeler; a vote counts +1, -1 or 0
     reliability: tuple[tuple[float, float], ...]  # P(vote for | personal), P(vote against | not), of votes cast
+    levels: tuple[tuple[float, ...], ...] = ()  # by feature and value
 
     def score(self, x: Column) -> Column:
         terms = [F.when(x["votes"][i] == 1, w).when(x["votes"][i] == 0, -w).otherwise(0.0) for i, w in enumerate(self.weights)]
+        terms += [F.element_at(F.array(*map(F.lit, ws)), x["features"][i] + 1) for i, ws in enumerate(self.levels)]
         z = reduce(lambda a, b: a + b, terms, F.element_at(F.array(*map(F.lit, self.bias)), x["ord"] + 1))
         return 1 / (1 + F.exp(-z))
 
 
-def fit(found: DataFrame, col: str = "candidates", rounds: int = 40) -> Model:
+def fit(docs: DataFrame, col: str = "candidates", rounds: int = 40) -> Model:
     """Reliabilities by EM over all candidates' votes, then the span classifier on the posteriors.
 
-    What is collected is the count of each (kind, votes): at most 7 x 3^6 rows.
+    What is collected is the count of each (kind, votes, features): at most 7 x 3^6 x 8^4 rows
+    whatever the input, some hundreds in texts.
     """
-    rows = found.select(F.explode(col).alias("c")).groupBy("c.ord", "c.votes").agg(F.count("*").alias("n")).collect()
-    data = [(r.ord, tuple(r.votes), r.n) for r in rows]
-    nk, nv = len(KINDS), len(VOTERS)
-    prior = [0.7] * nk
-    # p[y][v]: chance that labeler v votes for a candidate of class y, if it votes
-    p = [[0.3] * nv, [0.8] * nv]
-    post = [0.5] * len(data)
+    rows = docs.select(F.explode(col).alias("c")).groupBy("c.ord", "c.votes", "c.features").agg(F.count("*").alias("n")).collect()
+    rows.sort(key=lambda r: (r.ord, r.votes, r.features))
+    kind = np.array([r.ord for r in rows], int)
+    vote = np.array([r.votes for r in rows], int).reshape(-1, len(VOTERS))
+    n = np.array([r.n for r in rows], float)
+    kinds, cast, yes = np.eye(len(KINDS))[kind], vote >= 0, vote == 1
+    prior = np.full(len(KINDS), 0.7)
+    start = np.array([[0.3], [0.8]]) * np.ones(len(VOTERS))  # chance of a vote for, by class, if cast
+    p = start.copy()
+    post = np.full(len(rows), 0.5)
     for _ in range(rounds):
-        for i, (k, v, _n) in enumerate(data):
-            like = [1 - prior[k], prior[k]]
-            for y in (0, 1):
-                for j, vote in enumerate(v):
-                    if vote >= 0:
-                        like[y] *= p[y][j] if vote else 1 - p[y][j]
-            post[i] = like[1] / (like[0] + like[1])
-        for k in range(nk):
-            mass = sum(n for (kk, _, n) in data if kk == k)
-            prior[k] = (7 + sum(q * n for q, (kk, _, n) in zip(post, data) if kk == k)) / (10 + mass)
-        for j in range(nv):
-            for y, start in ((0, 0.3), (1, 0.8)):
-                cast = [(n * (q if y else 1 - q), v[j]) for q, (_, v, n) in zip(post, data) if v[j] >= 0]
-                est = (10 * start + sum(w for w, vote in cast if vote)) / (10 + sum(w for w, _ in cast))
-                p[y][j] = min(0.99, max(0.01, est))
-        p[1] = [max(a, b + 0.01) for a, b in zip(p[1], p[0])]  # a vote for never speaks against
-    bias, weights = [0.0] * nk, [0.5] * nv
-    total = sum(n for *_, n in data) or 1
-    for _ in range(400):
-        gb, gw = [1e-3 * b for b in bias], [1e-3 * w for w in weights]
-        for (k, v, n), q in zip(data, post):
-            x = [1.0 if vote == 1 else -1.0 if vote == 0 else 0.0 for vote in v]
-            z = bias[k] + sum(a * b for a, b in zip(weights, x))
-            e = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - q) * n / total
-            gb[k] += e
-            for j in range(nv):
-                gw[j] += e * x[j]
-        bias = [b - 2.0 * g for b, g in zip(bias, gb)]
-        weights = [w - 2.0 * g for w, g in zip(weights, gw)]
-    return Model(tuple(bias), tuple(weights), tuple((p[1][j], 1 - p[0][j]) for j in range(nv)))
-
-
-def accepted(model: Model, found: Column, threshold: float = 0.5) -> Column:
+        like = np.where(cast, np.where(yes, p[:, None, :], 1 - p[:, None, :]), 1).prod(axis=2)
+        like = like * np.stack([1 - prior[kind], prior[kind]])
+        post = like[1] / like.sum(axis=0)
+        prior = (7 + kinds.T @ (post * n)) / (10 + kinds.T @ n)
+        mass = np.stack([(1 - post) * n, post * n])
+        p = np.clip((10 * start + mass @ (cast & yes)) / (10 + mass @ cast), 0.01, 0.99)
+        p[1] = np.maximum(p[1], p[0] + 0.01)  # a vote for never speaks against
+    level = [np.eye(LEVELS)[np.array([r.features[i] for r in rows], int)].reshape(-1, LEVELS) for i in range(FEATURES)]
+    x = np.concatenate([kinds, np.where(cast, np.where(yes, 1, -1), 0), *level], axis=1)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):  # Newton's method with a ridge
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * q * (1 - q) + 1e-9)[:, None]).T @ x + np.eye(len(w)), x.T @ (n * (q - post)) + w)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    nk, nv = len(KINDS), len(VOTERS)
+    return Model(tuple(w[:nk].tolist()), tuple(w[nk : nk + nv].tolist()), tuple(zip(p[1].tolist(), (1 - p[0]).tolist())), tuple(map(tuple, w[nk + nv :].reshape(FEATURES, LEVELS).tolist())))
+
+
+def accepted(model: Model, every: Column, threshold: float = 0.5) -> Column:
     """Base candidates, and those that the classifier accepts and no base span overlaps."""
-    base = F.filter(found, lambda x: x["base"])
-    return F.filter(found, lambda x: x["base"] | ((model.score(x) >= threshold) & (x["votes"][0] == 1) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+    return F.filter(every, lambda x: x["base"] | (x["free"] & (model.score(x) >= threshold)))
 
 
 def digest(spans: Column) -> Column:
@@ -222,16 +255,26 @@ def digest(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with accepted spans replaced by their kind in brackets; other texts stay as they are."""
-    found = candidates(docs, text_col, "__found")
-    text = F.col(text_col)
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        return F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out")))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    masked = F.aggregate(F.col("__spans"), zero, step, rest)
-    spans = found.withColumn("__spans", accepted(model, F.col("__found")))
-    return spans.withColumn(text_col, F.when(F.size("__spans") > 0, masked).otherwise(text)).drop("__found", "__spans")
+    """``docs`` with accepted spans replaced by their kind in brackets; other texts stay as they are.
+
+    Of spans that overlap, all characters go; what replaces them is the kind that begins first.
+    """
+    marked = candidates(docs, text_col)
+    found_as = marked.columns[-1]
+    spans_as = fresh("__spans", marked.columns)
+    text, spans = F.col(text_col), F.col(spans_as)
+
+    def step(parts: Column) -> Callable:
+        def of(at: Column, x: Column) -> Column:
+            instead = F.when(x["start"] < at, F.lit("")).otherwise(F.concat(cut(parts, at, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+            return F.struct(F.greatest(at, x["end"]).alias("state"), instead.alias("out"))
+
+        return of
+
+    def masked(parts: Column) -> Column:
+        done = F.array_join(scan(spans, F.lit(0).cast("long"), step(parts), "string"), "")
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(done, cut(parts, last, F.length(text).cast("long")))
+
+    with_spans = marked.withColumn(spans_as, accepted(model, F.col(found_as)))
+    return with_spans.withColumn(text_col, F.when(F.size(spans) > 0, bind(pieces(text), masked)).otherwise(text)).drop(found_as, spans_as)
