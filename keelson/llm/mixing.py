@@ -1,19 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source has a target in words. A document's expected number of copies is target / source
-size: the whole part is allotted for certain, the rest p is an inclusion probability. Documents
-are ranked by u/(1-u) / (p/(1-p)) with u a uniform hash of the row (Rosen 1997), and taken from
-the lowest rank on while half of them or more fits the words that the whole copies leave: a sample
-of fixed size in words, missed by half a document at most.
-
-A source may hold any share of the rows. No source is sorted as one group: ranks are cut into
+Each source has a target in words. Documents of a source have weights (by default the root of their
+size, so that long documents are taken more often); the expected number of copies of a document is
+its weight times a factor of its source, COPIES at most, such that the source's words come to its
+target. The whole part is allotted for certain, the rest p, which differs from document to document,
+is an inclusion probability. Documents are ranked by u/(1-u) / (p/(1-p)) with u a uniform hash of the
+row (Rosen 1997), and taken from the lowest rank on while half of them or more fits the words that
+the whole copies leave: a sample of fixed size in words, missed by half a document at most.
+
+Weights are rounded to quarters of a power of two, so that a source's factor follows from at most 257
+sums. A source may hold any share of the rows. No source is sorted as one group: ranks are cut into
 4096 bins, and the bin where the target is reached into 4096 again; bins are summed before the
-shuffle, and only rows of the last bin, a 2**-24 part of their source, are put in order. Sources'
-targets come from a table of one row per source; documents meet it by source and salt.
+shuffle, and only rows of the last bin, a 2**-24 part of their source, are put in order. Rows that are
+repeated tie there; they are counted by partition and numbered within it. Sources' targets come from a
+table of one row per source; documents meet it by source and salt.
 
 Defined results: a null text has size 0; null is a source of its own, ordered last; a source
 without words has target 0; repeated rows are ranked one after another; an empty table gives
-no rows.
+no rows; columns of the input but those named are not in the result.
 """
 
 from __future__ import annotations
@@ -57,19 +61,53 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=COPIES) -> Data
     return table.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, **plan) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, and ``row_col`` if there is one."""
+def factors(sizes: DataFrame, plan: DataFrame, most=COPIES) -> DataFrame:
+    """``plan`` with factor and rest: copies are least(most, factor * weight), and what their whole parts leave of the target."""
+    classes = sizes.groupBy("source", "class").agg(F.sum("size").alias("n")).filter("n > 0").withColumnRenamed("source", "source_")
+    rows = classes.join(plan.select(F.col("source").alias("of_"), "target"), F.col("source_").eqNullSafe(F.col("of_"))).drop("of_").withColumn("w", weight_of("class"))
+    heavy = Window.partitionBy("source_").orderBy(F.desc("class"))  # at most 257 rows a source
+    above = F.coalesce(F.sum("n").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(F.col("n") * F.col("w")).over(heavy.rowsBetween(0, Window.unboundedFollowing))
+    tried = rows.withColumn("try", (F.col("target") - most * above) / below)
+    fits = F.when(F.col("try") * F.col("w") <= most * (1 + 1e-9), F.col("try"))
+    found = tried.groupBy("source_").agg(F.max_by(fits, F.when(fits.isNotNull(), F.col("class"))).alias("factor"))
+    plan = plan.join(found, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+    known = checkpoint(plan.withColumn("factor", F.greatest(F.lit(0.0), F.coalesce("factor", F.lit(float(1 << 60))))))
+    copies = rows.join(known.select(F.col("source").alias("of_"), "factor"), F.col("source_").eqNullSafe(F.col("of_"))).withColumn("whole", whole_part(expected("factor", "class", most)))
+    taken = copies.groupBy("source_").agg(F.sum(F.col("whole") * F.col("n")).alias("certain"))
+    return known.join(taken, F.col("source").eqNullSafe(F.col("source_")), "left").withColumn("rest", F.col("target") - F.coalesce("certain", F.lit(0))).drop("source_", "certain")
+
+
+def weight_of(name: str) -> Column:
+    return F.pow(F.lit(2.0), F.col(name) / 4)
+
+
+def expected(factor: str, name: str, most=COPIES) -> Column:
+    return F.least(F.lit(float(most)), F.col(factor) * weight_of(name))
+
+
+def whole_part(copies: Column) -> Column:
+    return F.floor(copies + 1e-9).cast("long")
+
+
+def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weight: Column | None = None, **plan) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, odds (p), copies, taken, and ``row_col`` if there is one.
+
+    weight: a positive number of each document; others, null and the weight of empty documents count as 1.
+    """
     row = [row_col] if row_col else []
-    sizes = checkpoint(docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")).alias("crc")))
-    plan_rows = targets(sizes, **plan)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan_rows = plan_rows.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("long"))
-    plan_rows = plan_rows.withColumn("p", F.col("ratio") - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan_rows = plan_rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    size = n_words(F.col(text_col))
+    heavy = F.sqrt(size.cast("double")) if weight is None else weight.cast("double")
+    level = F.when(heavy > 0, F.greatest(F.lit(-128), F.least(F.lit(128), F.round(4 * F.log2(heavy))))).otherwise(0).cast("int")
+    sizes = checkpoint(docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.coalesce(level, F.lit(0)).alias("class"), F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")).alias("crc")))
+    most = plan.get("most", COPIES)
+    plan_rows = factors(sizes, targets(sizes, **plan), most).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "crc"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     salted = sizes.withColumn("u", u).withColumn("salt", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(SALTS)).cast("int"))
     right = plan_rows.withColumnRenamed("source", "source_").withColumnRenamed("salt", "salt_")
     joined = salted.join(right, F.col("source").eqNullSafe(F.col("source_")) & (F.col("salt") == F.col("salt_"))).drop("source_", "salt_", "salt")
+    joined = joined.withColumn("copies", expected("factor", "class", most)).withColumn("whole", whole_part(F.col("copies")))
+    joined = joined.withColumn("p", F.when(F.col("copies") - F.col("whole") > 1e-9, F.col("copies") - F.col("whole")).otherwise(0.0)).drop("copies", "factor", "class")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     q = F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(1.0)
     fine = F.least(F.floor(q * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
@@ -99,10 +137,17 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
         .when(edge, 2)
         .otherwise(0)
     )
-    rows = checkpoint(rows.withColumn("state", state).withColumn("left2", F.col("b2.left")).drop("b1", "b2", "left1"))
-    last = rows.filter("state = 2").withColumn("run", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "crc", *row).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = checkpoint(rows.withColumn("state", state).withColumn("left2", F.col("b2.left")).withColumn("part", F.spark_partition_id()).drop("b1", "b2", "left1"))
+    same = ["source", "rank", "doc_id", "crc", "size", "part"]
+    last = rows.filter("state = 2").withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(*(row or ["size"]))))
+    # rows that are repeated tie; one row stands for those of a partition
+    ties = rows.filter("state = 2").groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.first("left2").alias("left2"))
+    run = F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("source").orderBy("rank", "doc_id", "crc", "part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") * F.col("size")
+    fits = F.when(F.col("size") > 0, F.floor((F.col("left2") - run) / F.col("size") + 0.5)).otherwise(0)
+    upto = ties.withColumn("upto", fits).select(*[F.col(c).alias(f"{c}_") for c in same], "upto")
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in same]
     chosen = rows.filter("state < 2").withColumn("in", F.col("state")).unionByName(
-        last.withColumn("in", (F.col("run") - F.col("size") / 2 <= F.col("left2")).cast("int")).drop("run")
+        last.join(upto, on).withColumn("in", (F.col("nth") <= F.col("upto")).cast("int")).drop("nth", "upto", *[f"{c}_" for c in same])
     )
     copies = (F.col("whole") + F.when(F.col("p") > 0, F.col("in")).otherwise(0)).cast("long")
-    return chosen.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)
+    return chosen.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", F.col("p").alias("odds"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)

@@ -26,6 +26,8 @@ ROUNDS = 6
 #: and a cycle meets each of them once, so up to N = 1,024 this always suffices; beyond, the chance
 #: that it does not is below 2**-150, and the query then fails instead of giving a wrong row.
 STEPS = 32
+#: Rows that are laid out at once for one row that is repeated.
+REPEATS = 1 << 16
 #: Rows of one numbering bucket, about.
 BUCKET_ROWS = 20_000
 
@@ -90,7 +92,9 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 20_240, id_col: str = "
     numbered = (
         placed.join(offsets, "bucket")
         .withColumn("last", F.col("offset") + F.sum("copies").over(inside))
-        .withColumn("row", F.explode(F.sequence(F.col("last") - F.col("copies"), F.col("last") - 1)))
+        # repeated rows are laid out REPEATS at a time, so that no array grows with their number
+        .withColumn("from", F.explode(F.sequence(F.col("last") - F.col("copies"), F.col("last") - 1, F.lit(REPEATS).cast("long"))))
+        .withColumn("row", F.explode(F.sequence("from", F.least(F.col("from") + REPEATS, F.col("last")) - 1)))
     )
     position = permute(F.col("row"), n, seed)
     return numbered.withColumn("position", position).select(

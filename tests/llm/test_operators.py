@@ -314,3 +314,28 @@ def test_mixing_stage_takes_what_the_mix_allots(spark):
     for r in plan:
         got = 10 * sum(x.source == r.source for x in out)
         assert got == r.taken and abs(got - r.target) <= 10
+
+
+def test_inclusion_odds_differ_and_rates_follow_them(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.choice([4, 16, 64, 256])), "en", "ab"[i % 2], 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, DOCS).cache()
+    got = [r for seed in range(6) for r in mixing.mix(df, seed=seed).filter("source = 'b'").collect()]
+    by = {}
+    for r in got:
+        by.setdefault(r.size, []).append((r.odds + (r.copies - r.odds) // 1 if r.odds == 0 else r.odds, r.copies))
+    odds = {s: v[0][0] for s, v in by.items()}
+    assert len(set(odds.values())) == 4
+    for s, v in by.items():
+        mean = sum(c for _, c in v) / len(v)
+        whole = min(c for _, c in v)
+        want = whole + odds[s] if 0 < odds[s] < 1 else mean
+        assert abs(mean - want) < 0.05, (s, mean, want)
+
+
+def test_one_row_repeated_over_the_boundary(spark):
+    df = spark.createDataFrame([(1, "a b c d", "en", "a", 1)] * 999 + [(2, "x y", "en", "b", 1)], DOCS).repartition(5)
+    got = mixing.mix(df).collect()
+    total = sum(r.taken for r in got if r.source == "a")
+    assert len(got) == 1000 and abs(total - got[0].target if got[0].source == "a" else total - next(r.target for r in got if r.source == "a")) <= 3
+    assert len({str(sorted(map(str, mixing.mix(df.repartition(k)).collect()))) for k in (2, 7)}) == 1
