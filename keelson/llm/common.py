@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,33 @@ def fresh(name: str, columns) -> str:
     return name
 
 
+def whole_groups(frames, key: list[str]):
+    """pandas frames that are sorted by ``key``, cut so that no group of equal keys is spread over two of them."""
+    held: list = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        last = np.ones(len(frame), bool)
+        for k in key:
+            last &= (frame[k] == frame[k].iloc[-1]).to_numpy()
+        cut = len(frame) - int(last.sum())
+        if held and all(held[-1][k].iloc[-1] == frame[k].iloc[0] for k in key) and cut == 0:
+            held.append(frame)
+            continue
+        start = 0
+        if held:
+            same = np.ones(len(frame), bool)
+            for k in key:
+                same &= (frame[k] == held[-1][k].iloc[-1]).to_numpy()
+            start = int(same.sum())  # rows that go on with the group that is held
+            yield pd.concat([*held, frame.iloc[:start]], ignore_index=True)
+        if cut > start:
+            yield frame.iloc[start:cut].reset_index(drop=True)
+        held = [frame.iloc[max(cut, start) :]]
+    if held and len(held[0]):
+        yield pd.concat(held, ignore_index=True)
+
+
 def slices(batches, rows: int, size: int = 8 << 20):
     """Cut Arrow batches into pieces of at most ``rows`` rows and, single rows aside, ``size`` bytes."""
     for batch in batches:

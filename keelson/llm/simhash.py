@@ -3,27 +3,34 @@
 Fingerprints within distance 4 of each other agree on some part of the bits within that part's
 threshold whenever the thresholds t_i satisfy sum(t_i + 1) = 4 + 1. Bits that go together are put
 into one part; a dynamic program then gives the parts unequal thresholds so that the probes and
-the candidates, estimated from the bits' frequencies over all fingerprints, cost least. Each
-fingerprint is indexed once per part and probes every value within the part's threshold; what
-meets is verified by its exact distance inside the join, so only real links leave it.
+the candidates, estimated from how often bits and pairs of bits differ over all fingerprints, cost
+least. Each fingerprint is indexed once per part and probes every value within the part's
+threshold; what meets is verified by its exact distance within its bucket. A large bucket gives a
+spanning forest of its links, never all of them.
 
 Equal fingerprints are one row from the start, so exact copies are never paired. What is
-gathered on the driver is one 64 x 64 table. Defined results: null and wordless texts have
-fingerprint 0 and link like any other; repeated rows share a component; an empty table gives no
-rows.
+gathered on the driver is one 64 x 64 table. A bucket is held by one worker as 8 bytes a distinct
+fingerprint; buckets get smaller as parts get wider.
+
+``similar`` is the same operator where texts, not fingerprints, must be alike; see there.
+
+Defined results: null and wordless texts have fingerprint 0 and link like any other; repeated
+rows share a component; an empty table gives no rows; columns of the input but the id and the text
+are not in the result.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, exp, lgamma
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, slices
+from .common import checkpoint, fresh, slices, whole_groups
 from .components import connected_components
 from .fingerprint import fingerprint
 
@@ -82,25 +89,37 @@ def group_bits(n: int, table: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def near_share(p: np.ndarray, most: int) -> np.ndarray:
-    """Share of pairs that differ in at most 0..most of the bits, as if bits were independent."""
-    dist = np.zeros(most + 2)
-    dist[0] = 1.0
-    for differs in 2 * p * (1 - p):
-        dist[1:-1] = dist[1:-1] * (1 - differs) + dist[:-2] * differs
-        dist[0] *= 1 - differs
-    return np.cumsum(dist[:-1])
+def near_share(n: int, table: np.ndarray, group: list[int], most: int) -> np.ndarray:
+    """Share of pairs of fingerprints that differ in at most 0..most of a part's bits.
+
+    Mean and variance of the number of bits that differ follow from how often each two bits are set
+    together; a beta-binomial law with these moments stands for the rest.
+    """
+    both = table[np.ix_(group, group)] / n
+    p = np.diag(both)
+    one, other = p[:, None] - both, p[None, :] - both
+    neither = 1 - both - one - other
+    joint = 2 * (both * neither + one * other)  # chance that a pair of rows differs in both bits
+    k, mean = len(group), float(np.diag(joint).sum())
+    if mean < 1e-9:
+        return np.ones(most + 1)
+    rate = min(mean / k, 1 - 1e-9)
+    spread = float(joint.sum()) - mean * mean
+    tied = (spread / (k * rate * (1 - rate)) - 1) / max(1, k - 1)
+    tied = min(max(tied, 1e-6), 0.999)
+    a, b = rate * (1 - tied) / tied, (1 - rate) * (1 - tied) / tied
+    beta = lambda x, y: lgamma(x) + lgamma(y) - lgamma(x + y)
+    return np.minimum(1, np.cumsum([comb(k, d) * exp(beta(d + a, k - d + b) - beta(a, b)) if d <= k else 0.0 for d in range(most + 1)]))
 
 
 def allocate(n: int, table: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
-    """The parts' bits and thresholds (-1: unused) of least estimated cost, over 1 to 5 parts."""
+    """The parts' bits and thresholds (-1: unused) of least estimated cost, over 2 to distance + 1 parts."""
     n = max(n, 1)  # costs of nothing would not tell the plans apart
-    p = np.diag(table) / n
     best = None
     for parts in range(2, distance + 2):
         groups = group_bits(n, table, parts)
         budget = distance + 1  # sum of (threshold + 1)
-        cost = [[0.0, *[n * sum(comb(len(g), k) for k in range(t + 1)) * PROBE_COST + n * n / 2 * near_share(p[g], t)[t] for t in range(distance + 1)]] for g in groups]
+        cost = [[0.0, *[n * sum(comb(len(g), k) for k in range(t + 1)) * PROBE_COST + n * n / 2 * near_share(n, table, g, t)[t] for t in range(distance + 1)]] for g in groups]
         table_dp = {0: (0.0, [])}
         for c in cost:
             nxt: dict[int, tuple[float, list[int]]] = {}
@@ -116,22 +135,84 @@ def allocate(n: int, table: np.ndarray, distance: int) -> list[tuple[list[int],
     return [(g, t) for g, t in best[1] if t >= 0]
 
 
+def meet(frames, distance: int):
+    """Links of buckets: every one of a small bucket, a spanning forest of a large one. Columns part, key, fp, probe."""
+    for frame in whole_groups(frames, ["part", "key"]):
+        fp = frame["fp"].to_numpy().view(np.uint64)
+        probe = frame["probe"].to_numpy()
+        new = np.ones(len(fp), bool)
+        new[1:] = (frame["part"].to_numpy()[1:] != frame["part"].to_numpy()[:-1]) | (frame["key"].to_numpy()[1:] != frame["key"].to_numpy()[:-1])
+        group = np.cumsum(new) - 1
+        probes, held = np.bincount(group, probe), np.bincount(group, ~probe)
+        out = []
+        small = (probes * held <= SMALL) & (probes * held > 0)
+        # all pairs of the small buckets at once: each probe beside each row held in its bucket
+        i = np.flatnonzero(probe & small[group])
+        inside = np.flatnonzero(~probe)
+        first = np.searchsorted(group[inside], np.arange(len(probes)))
+        count = held[group[i]].astype(np.int64)
+        for lo in range(0, len(i), PAIRS // SMALL):
+            x, c = i[lo : lo + PAIRS // SMALL], count[lo : lo + PAIRS // SMALL]
+            left = np.repeat(x, c)
+            at = np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
+            right = inside[np.repeat(first[group[x]], c) + at]
+            near = (fp[left] < fp[right]) & (np.bitwise_count(fp[left] ^ fp[right]) <= distance)
+            out.append((fp[left[near]], fp[right[near]]))
+        for g in np.flatnonzero(probes * held > SMALL):
+            rows = np.flatnonzero(group == g)
+            out.append(forest(np.unique(fp[rows[probe[rows]]]), np.unique(fp[rows[~probe[rows]]]), distance))
+        if out:
+            a, b = (np.concatenate([o[k] for o in out]).view(np.int64) for k in (0, 1))
+            yield pd.DataFrame({"a": a, "b": b})
+
+
+def forest(probes: np.ndarray, held: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two sorted sets of fingerprints, worked out in blocks."""
+    nodes = np.union1d(probes, held)
+    root = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    place, edges = np.searchsorted(nodes, held), []
+    step = max(1, PAIRS // max(1, len(held)))
+    for lo in range(0, len(probes), step):
+        some = probes[lo : lo + step]
+        x, y = np.nonzero(np.bitwise_count(some[:, None] ^ held[None, :]) <= distance)
+        for p, q in zip(np.searchsorted(nodes, some)[x].tolist(), place[y].tolist()):
+            u, v = find(p), find(q)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                edges.append((p, q))
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    return nodes[ends[:, 0]], nodes[ends[:, 1]]
+
+
+#: Pairs of a bucket up to which all its links are given; pairs that are compared at once.
+SMALL, PAIRS = 1 << 10, 1 << 21
+
+
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints in ``fps`` (fp: long) that differ in at most ``distance`` bits."""
+    """Pairs (a, b) of the distinct fingerprints in ``fps`` (fp: long) that differ in at most ``distance`` bits.
+
+    They connect all that such links connect; of the links inside a large bucket only a spanning forest is given.
+    """
     n, table = bit_table(fps)
     plan = allocate(n, table, distance)
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    masks = [signed(sum(1 << b for b in g)) for g, _ in plan]
-    flips = [[signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(g, k)] for g, t in plan]
-    fp = F.col("fp")
-    index = fps.select(fp.alias("b"), F.explode(F.array(*[F.struct(F.lit(i).alias("part"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("b", "k.*")
-    probes = None
-    for i, (m, f) in enumerate(zip(masks, flips)):
-        flip = F.explode(F.array(*[F.lit(x).cast("long") for x in f])).alias("x")
-        one = fps.select(fp.alias("a"), flip).select("a", F.lit(i).alias("part"), F.col("a").bitwiseAND(F.lit(m)).bitwiseXOR(F.col("x")).alias("key"))
-        probes = one if probes is None else probes.union(one)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return probes.join(index, (probes.part == index.part) & (probes.key == index.key) & near).select("a", "b").distinct()
+    rows = None
+    for i, (bits, t) in enumerate(plan):
+        own = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in bits))))
+        flips = [signed(sum(1 << b for b in c)) for k in range(t + 1) for c in combinations(bits, k)]
+        index = fps.select(F.lit(i).alias("part"), own.alias("key"), "fp", F.lit(False).alias("probe"))
+        probes = fps.select("fp", own.alias("own"), F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("x")).select(F.lit(i).alias("part"), F.col("own").bitwiseXOR(F.col("x")).alias("key"), "fp", F.lit(True).alias("probe"))
+        one = index.union(probes)
+        rows = one if rows is None else rows.union(one)
+    dealt = rows.repartition("part", "key").sortWithinPartitions("part", "key")
+    return dealt.mapInPandas(lambda frames: meet(frames, distance), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
