@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,15 +15,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where all runs on one machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = known.get() if known.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="keelson-ckpt-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder (spark.checkpoint.dir).
+    """Cut the lineage: ``df`` written as Parquet into the shared folder, and read back.
 
-    A folder of its own is set only where the session names none, as in local tests.
+    Unlike a checkpointed plan, which keeps the size estimates of the plan that it replaces and so
+    multiplies them from round to round of an iteration, a written table has its real size.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="keelson-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/keelson-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(col):

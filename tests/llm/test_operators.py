@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, langid, licenses, media, minhash, mixing, pii, sharding, simhash, toxicity, vecdup
+from keelson.llm import bpe, langid, licenses, media, mixing, pii, sharding, similar, simhash, toxicity, vecdup
 from keelson.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -222,14 +222,13 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd, none).filter("score > 0.01").count() == 0
 
 
-def test_families_need_several_endings_and_density():
-    few = {"stemone", "stemtwo"}
-    assert {"stem*", "stem**"} <= toxicity.terms_of(few)
-    assert "stem**" not in toxicity.terms_of({"stemone", "stem"})
-    long = few | {f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)}
-    assert "stem*" in toxicity.terms_of(long) and "stem**" not in toxicity.terms_of(long)
-    model = toxicity.Model(["stem**"])
-    assert model.votes("Stemone, stemtwo stemtwo")[0] == [0] and model.votes("stemone stem")[0] == []
+def test_stems_count_within_windows():
+    words = ["stemone", "a", "stemtwo"] + ["pad"] * 500 + ["stemthree"]
+    assert toxicity.stem_hits(words, {"stem", "pa"}) == {"stem": 2}
+    assert toxicity.stem_hits(words, {"stem", "pad"}) == {"stem": 2}
+    assert toxicity.terms_of(words, {"stem"}) >= {"stem*", "stem**", "a"} and "stem***" not in toxicity.terms_of(words, {"stem"})
+    model = toxicity.Model(["stem**", "idiot"])
+    assert model.votes("Stemone, " + "x " * 5000 + "stemtwo stemsix")[0] == [0] and model.votes("stemone stem")[0] == []
 
 
 def test_language(spark, odd):
@@ -273,7 +272,8 @@ def jaccard(a, b):
 def test_near_copies_against_brute_force(spark, docs, odd, monkeypatch, open_):
     import corpus_pipeline as P
 
-    monkeypatch.setattr(minhash, "OPEN", open_)  # 0: leaders change for ROUNDS rounds
+    monkeypatch.setattr(similar, "OPEN", open_)  # 0: leaders change for ROUNDS rounds
+    monkeypatch.setattr(similar, "RECALL", 0.9999)
     rng, rows = random.Random(3), [tuple(r) for r in docs.limit(60).collect()]
     base = [(i, [f"w{rng.randrange(10**6)}" for _ in range(200)]) for i in range(8)]
     for i, words in base:  # copies of similarity 0.95 to 0.7
