@@ -177,18 +177,26 @@ def unflushed(log: DataFrame, table: str, seq: str, marker: str) -> DataFrame:
 def range_floor(rows: DataFrame, value: str, ranges: DataFrame, start: str, payload: list[str]) -> DataFrame:
     """For each row the range of greatest start not above its value, without a range join.
 
-    Both sides are put in one order by range partitions; each partition fills starts forward, and
-    what a partition needs from before it is one row per partition.
+    Both sides are put in one order by range partitions, and written down with the number of their
+    partition: a plan that is run twice may cut its ranges elsewhere. Each partition fills starts
+    forward, and what it needs from before it is one row per partition.
     """
     from pyspark.sql.window import Window
 
+    from ..sources.catalog import scratch
+
+    spark = rows.sparkSession
     tagged = rows.select(F.col(value).alias("_v"), F.lit(1).alias("_side"), F.struct(*rows.columns).alias("_row"), F.lit(None).cast(ranges.select(F.struct(start, *payload)).schema[0].dataType).alias("_r"))
     starts = ranges.select(F.col(start).alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast(tagged.schema["_row"].dataType).alias("_row"), F.struct(start, *payload).alias("_r"))
-    both = tagged.unionByName(starts).repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
+    dealt = tagged.unionByName(starts).repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
+    path = f"{scratch(spark)}/ranges"
+    dealt.write.parquet(path)
+    both = spark.read.schema(dealt.schema).parquet(path)
     inside = Window.partitionBy("_p").orderBy("_v", "_side")
     filled = both.withColumn("_near", F.last("_r", ignorenulls=True).over(inside))
     # the last start of each partition, and for each partition the nearest of the ones before it
     ends = both.groupBy("_p").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_v"))).alias("_end"))
     carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", "_carry")
     out = filled.filter("_side = 1").join(F.broadcast(carried), "_p", "left")  # one row per partition
-    return out.withColumn("_hit", F.coalesce("_near", "_carry")).select("_row.*", *[F.col(f"_hit.{c}").alias(c) for c in (start, *payload)])
+    hit = F.when(F.col("_v").isNotNull(), F.coalesce("_near", "_carry"))  # null is below every start
+    return out.withColumn("_hit", hit).select("_row.*", *[F.col(f"_hit.{c}").alias(c) for c in (start, *payload)])

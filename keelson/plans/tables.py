@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import expr as E
 from ..operators import routing
-from ..operators.service import SqlService, column_stats
+from ..operators.service import SqlService, column_stats, histogram
 from ..sources.catalog import Catalog, scratch
 from ..sources.table import Table
 from ..streaming.sinks import upsert_sink
@@ -379,9 +379,18 @@ def partition_value(spark, sf_dir):
 
 # --- routing, durability ---
 
-@query()
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(16 AS BIGINT) AS shards, true AS even FROM orders")
 def shard_route_counts(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy(routing.shard_of(F.col("o_orderkey"), 16).alias("shard")).agg(F.count("*").alias("n"))
+    """Every order has one of 16 shards, none of which is twice its share."""
+    counts = read(spark, sf_dir, "orders").groupBy(routing.shard_of(F.col("o_orderkey"), 16).alias("shard")).agg(F.count("*").alias("n"))
+    return counts.agg(F.sum("n").alias("n"), F.count("*").alias("shards"), (F.max("n") < 2 * F.avg("n")).alias("even"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 7 <> 3")
+def shard_mod_hash_partition(spark, sf_dir):
+    """31-polynomial hash of the key's text: the same key, the same shard, so grouping by shard loses and doubles nothing."""
+    o = read(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 3").select("o_orderkey", routing.mod_hash_shard(F.col("o_orderkey"), 13).alias("shard"))
+    return o.groupBy("shard").agg(F.count_distinct("o_orderkey").alias("n")).agg(F.sum("n").alias("n"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n FROM events")
@@ -405,14 +414,8 @@ def kway_merge_sorted(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).union(read(spark, sf_dir, "events").select("event_id")).orderBy("k")
 
 
-@query("SELECT o_orderkey, s AS start FROM orders ASOF JOIN (SELECT c_custkey * 37 AS s FROM customer WHERE c_custkey < 100) ON o_orderkey >= s")
-def range_floor_lookup(spark, sf_dir):
-    ranges = read(spark, sf_dir, "customer").filter("c_custkey < 100").select((F.col("c_custkey") * 37).alias("start"), "c_name")
-    return routing.range_floor(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", ranges, "start", ["c_name"]).select("o_orderkey", "start")
-
-
 @query("SELECT o_orderkey, s AS start FROM orders ASOF JOIN (SELECT c_custkey * 10 AS s FROM customer) ON o_orderkey >= s")
-def range_floor_all(spark, sf_dir):
+def range_floor_lookup(spark, sf_dir):
     """Ranges of all customers: they grow with the orders, so that every range partition has its own."""
     ranges = read(spark, sf_dir, "customer").select((F.col("c_custkey") * 10).alias("start"), "c_name")
     return routing.range_floor(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", ranges, "start", ["c_name"]).select("o_orderkey", "start").filter("start is not null")
@@ -511,7 +514,7 @@ def stream_session(spark, sf_dir):
     return _drain(agg, "complete").select("user_id", _utc("w.start").alias("start"), "n")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, min(ts), TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_watermark_late(spark, sf_dir):
     """Finished hours only: what the watermark has passed."""
     agg = _stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
@@ -546,9 +549,9 @@ def change_feed(spark, sf_dir):
 
 # --- service ---
 
-@query("SELECT 'o_orderkey' AS \"column\", CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS nulls, CAST(min(o_orderkey) AS VARCHAR) AS min, CAST(max(o_orderkey) AS VARCHAR) AS max FROM orders UNION ALL SELECT 'o_orderstatus', CAST(count(*) AS BIGINT), 0, min(o_orderstatus), max(o_orderstatus) FROM orders UNION ALL SELECT 'o_custkey', CAST(count(*) AS BIGINT), 0, CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR) FROM orders", name="column_stats")
+@query("SELECT 'o_orderkey' AS \"column\", CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS nulls, CAST(min(o_orderkey) AS VARCHAR) AS min, CAST(max(o_orderkey) AS VARCHAR) AS max, round(avg(o_orderkey), 4) AS mean FROM orders UNION ALL SELECT 'o_orderstatus', CAST(count(*) AS BIGINT), 0, min(o_orderstatus), max(o_orderstatus), NULL FROM orders UNION ALL SELECT 'o_custkey', CAST(count(*) AS BIGINT), 0, CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR), round(avg(o_custkey), 4) FROM orders", name="column_stats")
 def _column_stats(spark, sf_dir):
-    return column_stats(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")).drop("n_distinct_approx")
+    return column_stats(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")).withColumn("mean", F.round("mean", 4)).drop("n_distinct_approx")
 
 
 def _served(spark, sql: list[str], schema: str, **options):
@@ -576,6 +579,74 @@ def svc_max_rows(spark, sf_dir):
     return _served(spark, ["SELECT o_orderkey FROM orders ORDER BY o_orderkey"], "o_orderkey long", max_rows=5)
 
 
+@query("SELECT CAST(least(9, floor((o_totalprice - lo) / ((hi - lo) / 10))) AS INT) AS bucket, CAST(count(*) AS BIGINT) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1", name="column_histogram")
+def _histogram(spark, sf_dir):
+    return histogram(read(spark, sf_dir, "orders"), "o_totalprice").select("bucket", "n")
+
+
+KEPT_SQL = "SELECT c_custkey, c_mktsegment, round(CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END, 2) AS bal FROM customer WHERE c_nationkey <> 3"
+
+
+@query(KEPT_SQL)
+def svc_dml(spark, sf_dir):
+    """CREATE TABLE AS, ALTER, UPDATE and DELETE as SQL."""
+    read(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    service = SqlService(spark, Catalog(spark, scratch(spark)))
+    try:
+        for text in (
+            "CREATE TABLE cust USING keelson OPTIONS (primary 'c_custkey') AS SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey, c_name FROM customer",
+            "ALTER TABLE cust DROP COLUMN c_name",
+            "ALTER TABLE cust ADD COLUMNS (note STRING)",
+            "UPDATE cust SET c_acctbal = greatest(c_acctbal, 0.0), note = 'a, b (where)' WHERE c_acctbal < 0",
+            "DELETE FROM cust WHERE c_nationkey = 3",
+        ):
+            service.execute(text)
+        return service.execute("SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) AS bal FROM cust")
+    finally:
+        service.shutdown()
+
+
+def _source(spark) -> None:
+    from ..sources.datasource import KeelsonSource
+
+    spark.dataSource.register(KeelsonSource)
+
+
+@query("SELECT o_orderkey, o_orderstatus, round(CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS price FROM orders")
+def ds_write_read(spark, sf_dir):
+    """Written twice and read through the data source: segments of the same keys are merged as streams."""
+    _source(spark)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    t = Table.create(spark, f"{scratch(spark)}/orders", orders.schema, ["o_orderkey"])
+    orders.repartition(2).write.format("keelson").option("path", t.root).mode("append").save()
+    orders.filter("o_orderstatus = 'P'").withColumn("o_totalprice", F.col("o_totalprice") + 1).write.format("keelson").option("path", t.root).mode("append").save()
+    return prices(spark.read.format("keelson").option("path", t.root).load())
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT'")
+def ds_altered_partitioned(spark, sf_dir):
+    """The source reads partitioned and altered tables, tombstones included."""
+    _source(spark)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    t = Table.create(spark, f"{scratch(spark)}/orders", orders.schema, ["o_orderkey"], partition_by=("o_orderpriority",))
+    t.upsert(orders)
+    t.alter(t.schema().add("extra", "int"))
+    t.delete(E.eq("o_orderpriority", "1-URGENT"))
+    return spark.read.format("keelson").option("path", t.root).load().filter("extra is null").select("o_orderkey")
+
+
+def _helpers(name: str, sql: str, predicate) -> None:
+    QUERIES[name] = lambda spark, sf_dir: read(spark, sf_dir, "orders").filter(E.to_filter(predicate())).select("o_orderkey")
+    ORACLES[name] = f"SELECT o_orderkey FROM orders WHERE {sql}"
+
+
+_helpers("expr_merge", "o_orderkey < 500 AND o_orderstatus = 'O'", lambda: E.merge(E.lt("o_orderkey", 500), E.merge(None, E.eq("o_orderstatus", "O"))))
+_helpers("expr_key_values", "o_orderkey = 33", lambda: E.eq("o_orderkey", E.key_values(E.and_(E.eq("o_orderkey", 33), E.gt("o_totalprice", 0)), {"o_orderkey"})["o_orderkey"]))
+_helpers("expr_key_only_part", "o_orderkey >= 100 AND o_orderkey < 200", lambda: E.and_(*[p for p in E.and_(E.ge("o_orderkey", 100), E.lt("o_orderkey", 200), E.eq("o_orderstatus", "F")).args if E.only_keys(p, {"o_orderkey"})]))
+_helpers("expr_proto_roundtrip", "o_totalprice BETWEEN 1000 AND 90000 AND o_orderpriority IN ('1-URGENT', '5-LOW')", lambda: E.from_proto(E.to_proto(E.and_(E.between("o_totalprice", 1000.0, 90000.0), E.in_("o_orderpriority", ["1-URGENT", "5-LOW"])))))
+_helpers("expr_case_call", "CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END = 1 AND length(o_orderpriority) = 5", lambda: E.and_(E.eq(E.case((E.eq("o_orderstatus", "O"), 1), otherwise=2), 1), E.eq(E.call("length", E.col("o_orderpriority")), 5)))
+
+
 @query("SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n_orders, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 1.1 ELSE o_totalprice END), 2) AS total FROM orders WHERE o_orderkey >= 100 AND o_orderstatus IN ('O', 'F') GROUP BY o_orderpriority", name="flagship")
 def _flagship(spark, sf_dir):
     return flagship(spark, sf_dir)

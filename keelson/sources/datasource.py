@@ -1,31 +1,37 @@
-"""``spark.read.format("keelson")``: tables through Spark's Python data source API.
+"""``spark.read.format("keelson")`` and ``df.write.format("keelson")``: tables through Spark's Python data source API.
 
-For use from SQL or other languages; Python programs get a faster, JVM-side plan from Table.scan.
+For use from SQL or other languages, on local or mounted folders; Python programs get a faster,
+JVM-side plan from Table.scan. Files of a segment are sorted by key, so segments that may hold the
+same keys are merged as streams: one task per cluster of such segments, one row of each file in memory.
+A write is one commit of what all tasks wrote; it appends to tables without a key, and else upserts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import uuid
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+
+def _root(options) -> str:
+    return "file:///" + options["path"].removeprefix("file:").strip("/")
 
 
 class KeelsonSource(DataSource):
-    """Option path: the table's folder. Each partition reads some files of the current snapshot with Arrow."""
+    """Options path: the table's folder; version: which to read (default: the newest); pushdown: true, where the
+    session has spark.sql.python.filterPushdown.enabled, lets comparisons with the key choose segments."""
 
     @classmethod
     def name(cls) -> str:
         return "keelson"
 
     def _state(self):
-        import json
-        import os
+        from .log import Log
 
-        root = self.options["path"].removeprefix("file://").rstrip("/")
-        from .log import State
-
-        state = State()
-        for name in sorted(n for n in os.listdir(f"{root}/_log") if n.endswith(".json") and not n.startswith(".")):
-            with open(f"{root}/_log/{name}") as f:
-                state.apply(int(name[:-5]), json.load(f))
+        version = self.options.get("version")
+        state = Log(None, _root(self.options)).state(None if version is None else int(version))
+        if state.metadata is None:
+            raise ValueError(f"no table at {self.options['path']}")
         return state
 
     def schema(self):
@@ -37,24 +43,207 @@ class KeelsonSource(DataSource):
 
     def reader(self, schema):
         state = self._state()
-        if len(state.segments) > 1 and state.metadata["keys"] or state.updates:
-            raise ValueError("compact the table first, or read it with Table.scan")
-        return _Reader([s["path"] for s in state.segments.values()], schema.fieldNames())
+        if state.updates:
+            raise ValueError("the table has deferred updates: compact it first, or read it with Table.scan")
+        return (_PushingReader if self.options.get("pushdown", "").lower() == "true" else _Reader)(state, schema)
+
+    def writer(self, schema, overwrite):
+        return _Writer(_root(self.options), schema, self._state(), overwrite)
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], names: list[str]):
-        self.paths, self.names = paths, names
+    def __init__(self, state, schema):
+        self.state, self.schema, self.spec = state, schema, []
 
     def partitions(self):
         import glob
 
-        return [InputPartition(f) for p in self.paths for f in sorted(glob.glob(f"{p.removeprefix('file://').removeprefix('file:')}/**/*.parquet", recursive=True))]
+        from ..functions import expr as E
+        from . import pruning
+        from .log import plain_path
+
+        keys = self.state.metadata["keys"]
+        files = lambda s: [(f, s["seq"]) for f in sorted(glob.glob(f"{plain_path(s['path'])}/**/*.parquet", recursive=True))]
+        segments = list(self.state.segments.values())
+        if not keys:
+            return [InputPartition([f]) for s in segments for f in files(s)]
+        spec = pruning.extract(E.and_(*self.spec), keys[0]) if self.spec else pruning.KeySpec()
+        segments = [s for s in segments if pruning.may_hold(spec, s["min_key"], s["max_key"])]
+        out = []
+        for group in pruning.clusters(segments):
+            every = [f for s in group for f in files(s)]
+            out += [InputPartition([f]) for f in every] if len(group) == 1 else [InputPartition(every)]
+        return out
 
     def read(self, partition):
-        import pyarrow.compute as pc
+        import heapq
+
+        import pyarrow as pa
+        import pyarrow.compute
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, names, keys = to_arrow_schema(self.schema), self.schema.fieldNames(), self.state.metadata["keys"]
+        if len(partition.value) == 1:
+            for batch in self._batches(partition.value[0][0], arrow):
+                kept = batch.filter(pa.compute.not_equal(batch["_op_type"], "DELETE")) if keys else batch
+                yield pa.RecordBatch.from_arrays([kept[n] for n in names], schema=arrow)
+            return
+        # whole files in order of key, the newest row of a key last
+        rank = lambda row: tuple((row[k] is not None, row[k]) if row[k] is not None else (False, 0) for k in keys)
+
+        def rows(file, seq):
+            for batch in self._batches(file, arrow, keys):
+                for row in batch.to_pylist():
+                    yield rank(row), seq, row
+
+        held, out = None, []
+        for key, _, row in heapq.merge(*(rows(f, s) for f, s in partition.value), key=lambda x: x[:2]):
+            if held is not None and held[0] != key and held[1]["_op_type"] != "DELETE":
+                out.append({n: held[1][n] for n in names})
+            held = (key, row)
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        if held is not None and held[1]["_op_type"] != "DELETE":
+            out.append({n: held[1][n] for n in names})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    def _batches(self, file, arrow, more=()):
+        """Columns by the names of the table: what a file lacks is null or, for partition columns, in its path."""
+        import json
+        import urllib.parse
+
+        import pyarrow as pa
         import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        from .table import names_stored
+
+        stored = names_stored(self.state.metadata)
+        whole = to_arrow_schema(StructType.fromJson(json.loads(self.state.metadata["schema"])))
+        types = {n: whole.field(n).type for n in dict.fromkeys([*arrow.names, *more])}
+        source = pq.ParquetFile(file)
+        have = set(source.schema_arrow.names)
+        fixed = dict(p.split("=", 1) for p in file.split("/") if "=" in p and not p.startswith("level="))
+        wanted = [stored[n] for n in types if stored[n] in have] + ["_op_type"]
+        for batch in source.iter_batches(columns=wanted):
+            columns = []
+            for n, kind in types.items():
+                if stored[n] in have:
+                    columns.append(batch[stored[n]].cast(kind, safe=False))
+                elif stored[n] in fixed and fixed[stored[n]] != "__HIVE_DEFAULT_PARTITION__":
+                    columns.append(pa.array([urllib.parse.unquote(fixed[stored[n]])] * batch.num_rows, pa.string()).cast(kind))
+                else:
+                    columns.append(pa.nulls(batch.num_rows, kind))
+            yield pa.RecordBatch.from_arrays([*columns, batch["_op_type"]], [*types, "_op_type"])
+
+
+class _PushingReader(_Reader):
+    def pushFilters(self, filters):
+        """Comparisons with the leading key choose segments; all are checked again by Spark."""
+        from ..functions import expr as E
+
+        keys = self.state.metadata["keys"]
+        make = {"EqualTo": E.eq, "GreaterThan": E.gt, "GreaterThanOrEqual": E.ge, "LessThan": E.lt, "LessThanOrEqual": E.le}
+        for f in filters:
+            if type(f).__name__ in make and getattr(f, "attribute", None) == tuple(keys[:1]):
+                self.spec.append(make[type(f).__name__](keys[0], f.value))
+            yield f
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, file, rows, low, high, nulls):
+        self.file, self.rows, self.low, self.high, self.nulls = file, rows, low, high, nulls
+
+
+class _Writer(DataSourceWriter):
+    #: Rows that a task sorts at a time; each run of them is a file.
+    RUN = 200_000
+
+    def __init__(self, root, schema, state, overwrite):
+        if state.metadata["partition_by"] or state.metadata["buckets"]:
+            raise ValueError("partitioned tables are written with Table")
+        import json
+
+        names = schema.fieldNames()
+        expected = [f["name"] for f in json.loads(state.metadata["schema"])["fields"]]
+        if set(names) != set(expected):
+            raise ValueError(f"the table has columns {expected}, not {names}")
+        self.root, self.schema, self.state, self.overwrite = root, schema, state, overwrite
+        self.path = f"{root}/data/level=0/seg-{uuid.uuid4().hex}"
+
+    def write(self, iterator):
+        import datetime
+        import itertools
+        import os
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        from .log import plain_path
+        from .table import names_stored
+
+        meta, folder = self.state.metadata, plain_path(self.path)
+        stored, keys = names_stored(meta), meta["keys"]
+        os.makedirs(folder, exist_ok=True)
+        arrow = to_arrow_schema(self.schema)
+        out = []
+        for number in itertools.count():
+            rows = [r.asDict(recursive=True) for r in itertools.islice(iterator, self.RUN)]
+            if not rows:
+                break
+            if keys:
+                rank = lambda r: tuple((r[k] is not None, r[k]) if r[k] is not None else (False, 0) for k in keys)
+                rows = sorted({rank(r): r for r in rows}.values(), key=rank)
+            table = pa.Table.from_pylist(rows, schema=arrow).rename_columns([stored[n] for n in arrow.names])
+            now = datetime.datetime.now(datetime.timezone.utc)
+            table = table.append_column("_op_type", pa.array(["INSERT"] * len(rows))).append_column("_commit_ts", pa.array([now] * len(rows), pa.timestamp("us", "UTC")))
+            if not keys:
+                table = table.append_column("_hidden_pk", pa.array([uuid.uuid4().int >> 65 for _ in rows], pa.int64()))
+            file = f"{folder}/part-{uuid.uuid4().hex}.parquet"
+            pq.write_table(table, file, compression="zstd")
+            lead = [r[keys[0]] for r in rows] if keys else []
+            known = [v for v in lead if v is not None]
+            out.append((file, len(rows), min(known, default=None), max(known, default=None), len(lead) - len(known)))
+        return _Written([o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [o[3] for o in out], sum(o[4] for o in out))
+
+    def commit(self, messages):
+        """Each file is a segment of its own: two tasks, or two runs of one, may hold the same key."""
+        import os
 
-        for batch in pq.ParquetFile(partition.value).iter_batches(columns=[*self.names, "_op_type"]):
-            batch = batch.filter(pc.not_equal(batch["_op_type"], "DELETE"))
-            yield batch.select(self.names)
+        from pyspark.sql.types import TimestampType
+
+        from . import pruning
+        from .log import CommitConflict, Log, plain_path
+
+        log, keys = Log(None, self.root), self.state.metadata["keys"]
+        made = []
+        for m in messages:
+            for file, rows, low, high in zip(m.file, m.rows, m.low, m.high):
+                path = f"{self.path}-{len(made)}"
+                os.makedirs(plain_path(path))
+                os.rename(file, f"{plain_path(path)}/{os.path.basename(file)}")
+                known = keys and not m.nulls and not isinstance(self.schema[keys[0]].dataType, TimestampType)
+                low, high = (pruning.stored(low), pruning.stored(high)) if known else (None, None)
+                made.append({"path": path, "level": 0, "rows": rows, "min_key": low if high is not None else None, "max_key": high if low is not None else None})
+        for _ in range(20):
+            now = log.state()
+            if self.overwrite and now.version != self.state.version:
+                raise CommitConflict(f"{self.root}: rows were written meanwhile")
+            gone = [{"remove": {"path": p}} for p in now.segments] + [{"update_remove": {"id": u["id"]}} for u in now.updates] if self.overwrite else []
+            try:
+                log.commit(now.version + 1, "OVERWRITE" if self.overwrite else "UPSERT" if keys else "APPEND", gone + [{"add": {**s, "seq": now.version + 1, "part": i}} for i, s in enumerate(made)])
+                return
+            except CommitConflict:
+                continue
+        raise CommitConflict(self.root)
+
+    def abort(self, messages):
+        import shutil
+
+        from .log import plain_path
+
+        shutil.rmtree(plain_path(self.path), ignore_errors=True)

@@ -201,3 +201,172 @@ def test_service(spark):
 
 def test_pressure():
     assert pressure(load_score(0)) == "NORMAL" and pressure(load_score(100, 1, 1)) == "WARNING" and pressure(load_score(100, 1, 1, 1, 1)) == "REJECTING"
+
+
+def meanwhile(t, monkeypatch, method, commit):
+    """Runs ``commit`` once, between what an operation reads and what it commits."""
+    real, done = Table._segment, []
+
+    def segment(self, df, meta, op, level=0):
+        out = real(self, df, meta, op, level)
+        if self is t and not done:
+            done.append(1)
+            commit(Table(t.spark, t.root))
+        return out
+
+    monkeypatch.setattr(Table, "_segment", segment)
+    try:
+        return method()
+    finally:
+        monkeypatch.setattr(Table, "_segment", real)
+
+
+def test_rows_committed_meanwhile_stay(kv, monkeypatch):
+    put(kv, *[(f"k{i}", "1") for i in range(5)])
+    meanwhile(kv, monkeypatch, kv.compact, lambda t: put(t, ("k0", "new"), ("z1", "1"), ("z2", "1")))
+    assert kv.scan().count() == 7 and rows(kv.find({"key": "k0"})) == [("k0", "new")]
+    meanwhile(kv, monkeypatch, lambda: kv.update({"value": E.call("concat", E.col("value"), "!")}, E.starts_with("key", "k")), lambda t: put(t, ("k0", "99")))
+    assert rows(kv.find({"key": "k0"})) == [("k0", "99!")]
+    meanwhile(kv, monkeypatch, lambda: kv.delete(E.eq("value", "99!")), lambda t: put(t, ("k0", "kept")))
+    assert rows(kv.find({"key": "k0"})) == [("k0", "kept")]
+    with pytest.raises(CommitConflict):
+        meanwhile(kv, monkeypatch, lambda: kv.overwrite(kv.scan(E.eq("key", "k1"))), lambda t: put(t, ("z3", "1")))
+    assert kv.scan().count() == 8
+    assert kv.remove_orphans(0) == []  # what came too late was removed at once
+
+
+def test_append_only_rows_committed_meanwhile_stay(spark, monkeypatch):
+    t = Table.create(spark, f"{scratch(spark)}/a", spark.range(1).schema)
+    t.append(spark.range(5))
+    meanwhile(t, monkeypatch, lambda: t.update({"id": E.add("id", 100)}, E.lt("id", 3)), lambda x: x.append(spark.range(2)))
+    assert sorted(r.id for r in t.scan().collect()) == [3, 4, 100, 100, 101, 101, 102]
+    meanwhile(t, monkeypatch, lambda: t.delete(E.ge("id", 100)), lambda x: x.append(spark.range(200, 202)))
+    assert sorted(r.id for r in t.scan().collect()) == [3, 4]
+
+
+def test_orphans_of_failed_writers_go(kv):
+    put(kv, ("a", "1"))
+    kv._segment(kv.scan(), kv.state().metadata, "INSERT")
+    assert len(kv.remove_orphans(3600)) == 0 and len(kv.remove_orphans(0)) == 1
+    assert rows(kv.scan()) == [("a", "1")]
+
+
+def test_log_is_folded(kv):
+    for i in range(23):
+        kv.update_lazily({"value": str(i)}, E.eq("key", "a"))
+    put(kv, ("a", "1"))
+    names = kv.log.files.names(kv.log.folder)
+    assert sum(n.endswith(".state") for n in names) == 2 and not any(n.endswith(".tmp") for n in names)
+    assert len(kv.state().updates) == 23 and kv.state(21).version == 21 and len(kv.state(9).updates) == 9
+    assert len(kv.snapshots()) == 25 and kv.compact_if_needed() is not None and not kv.state().updates
+
+
+def test_column_that_comes_back_is_empty(kv):
+    from pyspark.sql.types import StructType
+
+    put(kv, ("a", "1"))
+    whole = kv.schema()
+    kv.alter(StructType([whole["key"]]))
+    kv.alter(whole)
+    assert rows(kv.scan()) == [("a", None)]
+    put(kv, ("b", "2"))
+    assert rows(kv.scan()) == [("a", None), ("b", "2")] and kv.compact().rows == 2
+    assert rows(kv.scan(E.eq("value", "2"))) == [("b", "2")]
+
+
+def test_newest_takes_null_order_ties_and_maps(spark):
+    from keelson.sources.table import newest
+
+    df = spark.createDataFrame([("a", None, 1), ("b", 2, 5), ("b", None, 9), ("c", 1, 1), ("c", 1, 2)], "k string, o int, v int")
+    assert rows(newest(df, ["k"], F.col("o"))) == [("a", None, 1), ("b", 2, 5), ("c", 1, 2)]
+    m = df.withColumn("m", F.create_map(F.lit("x"), F.col("v")))
+    t = Table.create(spark, f"{scratch(spark)}/m", m.schema, ["k"])
+    t.upsert(m)
+    assert t.scan().filter("m['x'] = v").count() == 3
+
+
+def test_disjoint_segments_are_not_merged_and_merges_are_slim(spark):
+    import datetime
+
+    df = spark.range(10).select(F.expr("date_add(date'2024-01-01', cast(id as int))").alias("d"), F.col("id").alias("v"), F.lit("x").alias("w"))
+    t = Table.create(spark, f"{scratch(spark)}/d", df.schema, ["d"])
+    t.upsert(df.filter("v < 5"))
+    t.upsert(df.filter("v >= 5"))
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan(t.scan()) and t.scan().count() == 10
+    assert len(t.scan(E.eq("d", datetime.date(2024, 1, 8))).inputFiles()) < len(t.scan().inputFiles())
+    t.upsert(df.filter("v = 7").withColumn("v", F.lit(70).cast("long")))
+    assert "Aggregate" in plan(t.scan()) and "w#" not in plan(t.scan(columns=["v"])).split("ReadSchema")[0].split("FileScan")[-1]
+    assert sorted(r.v for r in t.scan(columns=["v"]).collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 70]
+
+
+def test_data_source_writes_merges_and_pushes(spark, kv):
+    from keelson.sources.datasource import KeelsonSource
+
+    spark.dataSource.register(KeelsonSource)
+    for n, value in ((30, "old"), (10, "new")):
+        df = spark.range(n).select(F.format_string("k%02d", "id").alias("key"), F.lit(value).alias("value"))
+        df.write.format("keelson").option("path", kv.root).mode("append").save()
+    kv.delete(E.eq("key", "k05"))
+    read = spark.read.format("keelson").option("path", kv.root)
+    assert rows(read.load()) == rows(kv.scan()) and read.load().count() == 29
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert rows(read.option("pushdown", "true").load().filter("key = 'k03'")) == [("k03", "new")]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    kv.scan(E.eq("key", "k01")).write.format("keelson").option("path", kv.root).mode("overwrite").save()
+    assert rows(kv.scan()) == [("k01", "new")]
+
+
+def test_folding_is_what_spark_gives():
+    assert E.simplify(E.mod(E.lit(-7), E.lit(3))) == E.lit(-1) and E.simplify(E.add(E.lit(2), E.lit(3))) == E.lit(5)
+    big = E.add(E.lit(1 << 62), E.lit(1 << 62))
+    assert E.simplify(big) == big and E.simplify(E.power(E.lit(-8.0), E.lit(0.5))).op == "pow"
+    assert E.simplify(E.between("a", "x", 1)).op == "between" and E.simplify(E.gt(E.lit("a"), E.lit(1))).op == "gt"
+
+
+def test_proto_and_json_keep_every_kind_of_value():
+    import datetime
+    from decimal import Decimal
+
+    e = E.and_(E.in_("a", ["x", None, 2**70, -5, 2.5, True]), E.eq("d", Decimal("1.20")), E.eq("e", datetime.date(2020, 1, 2)), E.eq("f", b"\x00"), E.case((E.eq("a", 1), "x"), otherwise=-(2**63)))
+    for dump, load in E.SERIALIZERS.values():
+        assert load(dump(e)) == e
+
+
+def test_range_floor_is_exact_where_sampling_is_partial(spark):
+    import bisect
+
+    n = 300_000
+    starts = [(i * 97, str(i)) for i in range(20_000)]
+    df = spark.range(n).select((F.xxhash64("id") % 2_000_000).alias("v")).union(spark.createDataFrame([(None,)], "v long"))
+    got = R.range_floor(df, "v", spark.createDataFrame(starts, "s long, n string"), "s", ["n"]).collect()
+    lows = [s for s, _ in starts]
+    wrong = sum((r.s != (None if r.v is None or r.v < 0 else lows[bisect.bisect_right(lows, r.v) - 1])) for r in got)
+    assert len(got) == n + 1 and wrong == 0
+
+
+def test_service_statements_sessions_and_results(spark):
+    s = SqlService(spark, Catalog(spark, scratch(spark)))
+    s.execute("CREATE TABLE t (k INT, v STRING) USING keelson OPTIONS (primary 'k')")
+    s.execute("INSERT INTO t VALUES (1, 'a'), (2, 'b'), (3, NULL)")
+    s.execute("UPDATE t SET v = concat(v, ', where') WHERE k <= 2 AND v <> 'b'")
+    s.execute("DELETE FROM t WHERE v = 'b'")
+    assert rows(s.execute("SELECT * FROM t")) == [(1, "a, where"), (3, None)]
+    s.execute("INSERT OVERWRITE t SELECT 9, 'z'")
+    a, b = s.create_session(), s.create_session()
+    assert s.wait(s.submit("CREATE TEMP VIEW mine AS SELECT 1 AS x", a)) is JobState.SUCCEEDED
+    assert s.wait(s.submit("SELECT * FROM mine", b)) is JobState.FAILED
+    job = s.submit("SELECT k, k FROM t", b)
+    assert s.wait(job) is JobState.SUCCEEDED and list(s.result(job)) == [[(9, 9)]]
+    many = s.submit("SELECT id FROM range(25000)")
+    assert s.wait(many) is JobState.SUCCEEDED and [len(c) for c in s.result(many)] == [1000] * 25
+    raised = []
+    s.watch("many jobs", lambda r: r["jobs"] > 2, lambda n, r: raised.append(n))
+    assert s.check_alerts() == ["many jobs"] and s.check_alerts() == [] and raised == ["many jobs"]
+    s.execute("DROP TABLE t")
+    s.execute("DROP TABLE IF EXISTS t")
+    with pytest.raises(Exception):
+        s.execute("SELECT * FROM t").collect()
+    s.shutdown()
