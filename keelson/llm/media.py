@@ -1,16 +1,21 @@
-"""Bytes as AVI motion-JPEG clips: write, parse, decode, and cut at shots.
-
-A frame is a grey baseline JPEG of 16 x 12 blocks. Each block is flat: its DC coefficient is one
-8-bit sample, quantised by 8, so the sample survives exactly; the decoded frame shows the samples
-as blocks of 8 x 8 pixels. Frames use the standard Huffman tables, which motion-JPEG leaves out
-of the stream. The container is RIFF AVI with an index of its frames.
-
-``decode_frames`` reads the entropy-coded segments of any such frames in step, one symbol of all
-frames at a time. Shots are cut where the difference of neighbouring frames' histograms exceeds
-the mean of the differences around it by a multiple of their deviation.
-
-Defined results: null counts as empty; an empty text is one frame of bytes 32; equal texts give
-equal values; repeated rows are each reported.
+"""AVI motion-JPEG: write, parse, decode, and cut at shots.
+
+``clips`` reads a column of AVI files: RIFF lists and the frame index are parsed, every frame is an
+intra frame of its own and is decoded by the tables in its headers (``jpeg``), and shots are cut
+where the difference of neighbouring frames' histograms exceeds the mean of the differences around
+it by a multiple of their deviation: one timed row per clip.
+
+``round_trip`` stores bytes as such files. A frame is a grey baseline JPEG of 16 x 12 blocks. Each
+block is flat: its DC coefficient is one 8-bit sample, quantised by 8, so the sample survives
+exactly; the decoded frame shows the samples as blocks of 8 x 8 pixels. Frames use the standard
+Huffman tables, which motion-JPEG leaves out of the stream. ``decode_frames`` reads the
+entropy-coded segments of many frames with just these headers in step, one symbol of all frames at
+a time, STEP frames at once; it is the same decoding as ``jpeg``'s, in numpy.
+
+Defined results: null counts as empty for ``round_trip``; an empty text is one frame of bytes 32;
+equal texts give equal values; repeated rows are each reported; a null or broken file gives one row
+with ``error``, and clips of the frames before the broken one are not reported; columns of other
+names pass through, those named like a result keep their names.
 """
 
 from __future__ import annotations
@@ -25,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .common import fresh, slices
 
+#: Frames that are encoded or decoded at once; bounds memory on very long texts.
+STEP = 4096
 COLUMNS, ROWS = 16, 12
 FRAME = COLUMNS * ROWS
 RATE = 25  # frames a second
@@ -137,56 +145,65 @@ class Clip:
 
 
 def parse_avi(data: bytes) -> Clip:
-    """Frames of a RIFF AVI file, by its idx1 index, or by walking movi where there is none."""
+    """Frames of a RIFF AVI file, by its idx1 index, or by walking its movi lists where there is none.
+
+    Offsets of the index count from the movi list, or from the file's begin, as the first entry shows.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     width = height = 0
-    rate, movi, index = float(RATE), None, None
+    rate, movi, index = float(RATE), [], None
+    video = lambda name: name[2:] in (b"dc", b"db")
+
+    def chunks(at: int, end: int):
+        while at + 8 <= min(end, len(data)):
+            size = struct.unpack_from("<I", data, at + 4)[0]
+            yield data[at : at + 4], at + 8, size
+            at += 8 + size + (size & 1)
 
     def walk(at: int, end: int):
-        nonlocal width, height, rate, movi, index
-        while at + 8 <= end:
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            body = at + 8
-            if name == b"LIST":
+        nonlocal width, height, rate, index
+        for name, body, size in chunks(at, end):
+            if name in (b"LIST", b"RIFF"):
                 if data[body : body + 4] == b"movi":
-                    movi = (body, body + size)
+                    movi.append((body, body + size))
                 else:
                     walk(body + 4, body + size)
             elif name == b"avih":
                 width, height = struct.unpack_from("<II", data, body + 32)
             elif name == b"strh" and data[body : body + 4] == b"vids":
                 scale, r = struct.unpack_from("<II", data, body + 20)
-                rate = r / max(1, scale)
+                rate = r / max(1, scale) or float(RATE)
             elif name == b"idx1":
                 index = (body, body + size)
-            at = body + size + (size & 1)
-
-    walk(12, len(data))
-    if movi is None:
-        raise ValueError("no movi list")
-    frames = []
-    if index:
-        for name, _, at, size in struct.iter_unpack("<4sIII", data[index[0] : index[1]]):
-            if name[2:] == b"dc":
-                start = movi[0] + at + 8
-                frames.append(data[start : start + size])
-    else:
-        at = movi[0] + 4
-        while at + 8 <= movi[1]:
-            size = struct.unpack_from("<I", data, at + 4)[0]
-            frames.append(data[at + 8 : at + 8 + size])
-            at += 8 + size + (size & 1)
+
+    def frames_in(at: int, end: int):
+        for name, body, size in chunks(at, end):
+            if name == b"LIST":  # groups of chunks that are read together
+                yield from frames_in(body + 4, body + size)
+            elif video(name) and size:
+                yield data[body : body + size]
+
+    try:
+        walk(12, len(data))
+        if not movi:
+            raise ValueError("no movi list")
+        if index:
+            entries = [(at, size) for name, _, at, size in struct.iter_unpack("<4sIII", data[index[0] : index[0] + (index[1] - index[0]) // 16 * 16]) if video(name) and size]
+            base = movi[0][0] if entries and video(data[movi[0][0] + entries[0][0] :][:4]) else 0
+            frames = [data[base + at + 8 : base + at + 8 + size] for at, size in entries]
+        else:
+            frames = [f for a, b in movi for f in frames_in(a + 4, b)]
+    except struct.error as e:
+        raise ValueError(f"broken file: {e}") from e
     return Clip(width, height, rate, frames)
 
 
 def scan_data(frame: bytes) -> bytes:
-    """A frame's entropy-coded bytes, without stuffing; its headers must be those of a flat-block frame."""
-    at = 2
-    while frame[at : at + 2] != b"\xff\xda":
-        at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
-    at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
-    return frame[at:-2].replace(b"\xff\x00", b"\xff")
+    """A frame's entropy-coded bytes, without stuffing; its headers must be those that ``encode_frames`` writes."""
+    if not frame.startswith(HEAD) or not frame.endswith(TAIL):
+        raise ValueError("not a frame of flat blocks")
+    return frame[len(HEAD) : -2].replace(b"\xff\x00", b"\xff")
 
 
 def decode_frames(frames: list[bytes], blocks: int = FRAME) -> np.ndarray:
@@ -213,14 +230,19 @@ def decode_frames(frames: list[bytes], blocks: int = FRAME) -> np.ndarray:
     return out.T
 
 
-def shots(samples: np.ndarray) -> list[tuple[int, int]]:
-    """(first, end) frames of each shot."""
+def histograms(samples: np.ndarray) -> np.ndarray:
+    """Share of each frame's samples in each of BINS bins."""
     n = len(samples)
+    at = (samples >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
+    return np.bincount(at.ravel(), minlength=n * BINS).reshape(n, BINS) / samples.shape[1]
+
+
+def shots(hist: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) frames of each shot, from the frames' histograms."""
+    n = len(hist)
     if n < 2:
-        return [(0, n)]
-    hist = np.zeros((n, BINS))
-    np.add.at(hist, (np.arange(n)[:, None], samples >> 4), 1)
-    d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * samples.shape[1])
+        return [(0, n)] if n else []
+    d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
     sums, squares = np.cumsum([0, *d]), np.cumsum([0, *d * d])
     i = np.arange(n - 1)
     lo, hi = np.maximum(i - AROUND, 0), np.minimum(i + AROUND + 1, n - 1)
@@ -231,6 +253,11 @@ def shots(samples: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts], [*cuts, n]))
 
 
+def timed(hist: np.ndarray, means: np.ndarray, rate: float) -> list[dict]:
+    """Clips: their frames, seconds, and mean brightness."""
+    return [{"clip": i, "first": x, "end": y, "start_s": x / rate, "end_s": y / rate, "level": round(float(means[x:y].mean()), 3)} for i, (x, y) in enumerate(shots(hist))]
+
+
 SCHEMA = "media binary, payload binary, frames int, clips array<struct<clip:int,first:int,end:int,start_s:double,end_s:double,level:double>>"
 
 
@@ -238,24 +265,69 @@ def store(raws: list[bytes]) -> list[bytes]:
     """AVI files of byte strings; the frames of all are encoded together."""
     padded = [pad(r) for r in raws]
     counts = [len(p) // FRAME for p in padded]
-    frames = encode_frames(np.frombuffer(b"".join(padded), np.uint8).reshape(-1, FRAME)) if padded else []
+    samples = np.frombuffer(b"".join(padded), np.uint8).reshape(-1, FRAME)
+    frames = [f for i in range(0, len(samples), STEP) for f in encode_frames(samples[i : i + STEP])]
     ends = np.cumsum([0, *counts]).tolist()
     return [write_avi(frames[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def load(files: list[bytes]) -> list[tuple[bytes, list[dict]]]:
-    """Payload and timed clips of AVI files; the frames of all are decoded together."""
-    clips = [parse_avi(f) for f in files]
-    samples = decode_frames([f for c in clips for f in c.frames])
-    ends = np.cumsum([0, *(len(c.frames) for c in clips)]).tolist()
+    """Payload and timed clips of the files that ``store`` writes; the frames of all are decoded together."""
+    parsed = [parse_avi(f) for f in files]
+    frames = [f for c in parsed for f in c.frames]
+    samples = np.concatenate([np.zeros((0, FRAME), np.uint8), *(decode_frames(frames[i : i + STEP]) for i in range(0, len(frames), STEP))])
+    ends = np.cumsum([0, *(len(c.frames) for c in parsed)]).tolist()
     out = []
-    for c, a, b in zip(clips, ends, ends[1:]):
+    for c, a, b in zip(parsed, ends, ends[1:]):
         own = np.ascontiguousarray(samples[a:b])
-        means = own.mean(axis=1)
-        out.append((own.tobytes(), [{"clip": i, "first": x, "end": y, "start_s": x / c.rate, "end_s": y / c.rate, "level": round(float(means[x:y].mean()), 3)} for i, (x, y) in enumerate(shots(own))]))
+        out.append((own.tobytes(), timed(histograms(own), own.mean(axis=1), c.rate)))
     return out
 
 
+def clip_rows(data: bytes | None) -> list[dict]:
+    """Timed clips of one file, its brightness decoded frame by frame; one row with an error for a broken file."""
+    try:
+        if data is None:
+            raise ValueError("no file")
+        parsed = parse_avi(data)
+        hist, means = [], []
+        for f in parsed.frames:
+            plane = jpeg.decode(f)[0].reshape(1, -1)
+            hist.append(histograms(plane)[0])
+            means.append(plane.mean())
+        if not hist:
+            raise ValueError("no frames")
+        return [{**c, "error": None} for c in timed(np.array(hist), np.array(means), parsed.rate)]
+    except ValueError as e:
+        return [{"error": str(e)}]
+
+
+CLIPS = "clip int, first int, end int, start_s double, end_s double, level double, error string"
+
+
+def clips(files: DataFrame, media_col: str = "media") -> DataFrame:
+    """One row per clip of each AVI file in a binary column, beside the other columns; one row with ``error`` for a broken file."""
+    from pyspark.sql.types import StructType
+
+    kept = [c for c in files.columns if c != media_col]
+    extra = StructType.fromDDL(CLIPS)
+    names = [fresh(c, files.columns) for c in extra.names]
+    own = fresh("__media", files.columns)
+    schema = StructType([*files.select(*kept).schema.fields, *[type(f)(n, f.dataType) for f, n in zip(extra.fields, names)]])
+
+    def run(batches):
+        import pyspark.sql.pandas.types as types
+
+        arrow = [types.to_arrow_type(f.dataType) for f in extra.fields]
+        for batch in slices(batches, 16):
+            for i in range(batch.num_rows):
+                rows = clip_rows(batch.column(batch.num_columns - 1)[i].as_py())
+                same = batch.slice(i, 1).take(pa.array([0] * len(rows)))
+                yield pa.RecordBatch.from_arrays([*same.columns[:-1], *[pa.array([r.get(c) for r in rows], t) for c, t in zip(extra.names, arrow)]], [*batch.schema.names[:-1], *names])
+
+    return files.select(*kept, F.col(media_col).alias(own)).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, text_col: str = "text", digests: bool = False) -> DataFrame:
     """``docs`` without the text, with media, payload read back, frames and timed clips of each.
 
@@ -267,6 +339,7 @@ def round_trip(docs: DataFrame, text_col: str = "text", digests: bool = False) -
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" if digests else SCHEMA)
+    names = [fresh(c, docs.columns) for c in extra.names]
 
     def run(batches):
         for batch in slices(batches, 256, 1 << 20):
@@ -287,6 +360,6 @@ def round_trip(docs: DataFrame, text_col: str = "text", digests: bool = False) -
             else:
                 kind = pa.list_(pa.struct([("clip", pa.int32()), ("first", pa.int32()), ("end", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("level", pa.float64())]))
                 arrays = [pa.array(files, pa.binary()), pa.array([p for p, _ in read], pa.binary()), pa.array([len(p) // FRAME for p, _ in read], pa.int32()), pa.array([c for _, c in read], kind)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], *extra.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], *names])
 
-    return docs.select(*kept, F.col(text_col).cast("string").alias(own)).mapInArrow(run, StructType([*schema.fields, *extra.fields]))
+    return docs.select(*kept, F.col(text_col).cast("string").alias(own)).mapInArrow(run, StructType([*schema.fields, *[type(f)(n, f.dataType) for f, n in zip(extra.fields, names)]]))
