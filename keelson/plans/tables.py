@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr as E
-from ..operators import routing
+from ..operators import merging, routing
 from ..operators.service import SqlService, column_stats, histogram
 from ..sources.catalog import Catalog, scratch
 from ..sources.table import Table
@@ -157,7 +157,8 @@ def find_composite_pk(spark, sf_dir):
 
 @query("SELECT c_name AS key, base64(encode(c_name)) AS key_base64, CAST(octet_length(encode(c_name)) AS INT) AS key_length, CAST(octet_length(encode(c_mktsegment)) AS INT) AS value_length FROM customer")
 def kv_pseudo_columns(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.base64(F.encode("c_name", "UTF-8")).alias("key_base64"), F.octet_length("c_name").alias("key_length"), F.octet_length("c_mktsegment").alias("value_length"))
+    rows = merging.key_value(customers(spark, sf_dir).scan(), ["c_name"], ["c_mktsegment"])
+    return rows.select(F.col("_key").alias("key"), F.col("_key_base64").alias("key_base64"), F.col("_key_length").alias("key_length"), F.col("_value_length").alias("value_length"))
 
 
 USERS = "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM {0}) WHERE rn = 1"
@@ -369,7 +370,10 @@ def partition_hash_buckets(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer ORDER BY c_custkey")
 def partition_range(spark, sf_dir):
-    return read(spark, sf_dir, "customer").repartitionByRange(8, "c_custkey").sortWithinPartitions("c_custkey").select("c_custkey")
+    """Compacted into files of consecutive key ranges."""
+    t = customers(spark, sf_dir)
+    t.compact(8)
+    return t.scan(columns=["c_custkey"])
 
 
 @query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_mktsegment")
@@ -411,7 +415,15 @@ def wal_replay_after_marker(spark, sf_dir):
 
 @query("SELECT o_orderkey AS k FROM orders UNION ALL SELECT event_id FROM events ORDER BY k")
 def kway_merge_sorted(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).union(read(spark, sf_dir, "events").select("event_id")).orderBy("k")
+    sources = [read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), read(spark, sf_dir, "events").select(F.col("event_id").alias("k"))]
+    return merging.merge_sorted(sources, ["k"])
+
+
+@query("SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o DESC) AS rn FROM (SELECT o_orderkey AS k, o_totalprice AS v, 1 AS o FROM orders UNION ALL SELECT event_id, value, 2 FROM events)) WHERE rn = 1")
+def kway_merge_newest(spark, sf_dir):
+    """Of a key in several sources the row of the last one stays."""
+    sources = [read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.lit(1).alias("o")), read(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("value").alias("v"), F.lit(2).alias("o"))]
+    return merging.merge_sorted(sources, ["k"], F.col("o")).select("k", "v")
 
 
 @query("SELECT o_orderkey, s AS start FROM orders ASOF JOIN (SELECT c_custkey * 10 AS s FROM customer) ON o_orderkey >= s")
