@@ -1,11 +1,13 @@
 """Operators for training corpora against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,6 +304,41 @@ def test_near_copies_against_brute_force(spark, docs, odd, monkeypatch, open_):
     assert P.drop_near_copies(spark, df.limit(0), SF).count() == 0
 
 
+def test_thresholds_are_dealt_by_cost_and_reach_the_recall():
+    n = 40_000
+    plan = similar.plan_for(n)
+    rng = np.random.default_rng(2)
+    bits = (rng.random((2000, plan.pool * plan.width)) < 0.5).astype(np.uint8)
+    skewed = range(3, plan.pool, 3)
+    for part in skewed:  # nearly all fingerprints agree in these parts
+        bits[:, part * plan.width : (part + 1) * plan.width] &= rng.random((2000, plan.width)) < 0.02
+    used = similar.allocate(bits, n, plan)
+    p, w = similar.differing(), plan.width
+    misses = [1 - sum(math.comb(w, d) * p**d * (1 - p) ** (w - d) for d in range(t + 1)) for _, t in used]
+    assert math.prod(misses) <= 1 - similar.RECALL
+    assert len({t for _, t in used}) > 1 and len(used) < plan.pool  # thresholds are unequal, parts are left out
+    assert len(set(skewed) & {part for part, _ in used}) < len(set(skewed)) / 2
+
+
+def test_probes_find_what_differs_within_the_threshold():
+    plan = similar.Plan(8, 3, 128)
+    rng = np.random.default_rng(5)
+    raw = np.tile(rng.integers(0, 256, 8 * similar.words(plan), np.uint8), (4, 1))
+    for row, part, bits in ((1, 0, 1), (2, 0, 3), (3, 0, 2)):  # bits of a part in which a row differs from row 0
+        raw[row, 8 * similar.SKETCH + part] ^= (1 << bits) - 1
+        raw[row, 8 * similar.SKETCH + 1 : 8 * similar.SKETCH + 3] ^= 0xFF
+    ids = pa.array([0, 1, 2, 3])
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array([9] * 4), pa.array([x.tobytes() for x in raw])], ["node", "c", "size", "bits"])
+    for t, want in ((0, set()), (1, {(0, 1), (1, 3), (2, 3)}), (2, {(0, 1), (0, 3), (1, 2), (1, 3), (2, 3)})):
+        dealt = similar._rows(plan, [(0, t)], 1)([batch])
+        found = [b.to_pylist() for b in similar._meet(128, True, 4, 64, 4096)(dealt)]
+        groups = {}
+        for r in (r for b in found for r in b):
+            groups.setdefault(r["g"], set()).add(r["node"])
+        assert want <= {(x, y) for g in groups.values() for x in g for y in g if x < y}
+        assert groups or not want
+
+
 def test_mixing_stage_takes_what_the_mix_allots(spark):
     import corpus_pipeline as P
 
