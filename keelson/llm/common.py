@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,36 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables written by ``checkpoint`` within the innermost ``scratch``.
+_scratch: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch():
+    """Gives a ``keep`` that is ``checkpoint``; every other table that is checkpointed inside is removed at the end.
+
+    What is kept belongs to the scratch around this one, if there is one.
+    """
+    tables: list = []
+    kept: list = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = checkpoint(df)
+        kept.append(tables.pop())
+        return out
+
+    token = _scratch.set(tables)
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        if (around := _scratch.get()) is not None:
+            around.extend(kept)
+        for spark, path in tables:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: ``df`` written as Parquet into the shared folder, and read back.
 
@@ -36,6 +68,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     multiplies them from round to round of an iteration, a written table has its real size.
     """
     path = f"{shared_folder(df.sparkSession)}/keelson-{uuid.uuid4().hex}"
+    if (tables := _scratch.get()) is not None:
+        tables.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, langid, licenses, media, mixing, pii, sharding, similar, simhash, toxicity, vecdup
+from keelson.llm import bpe, common, langid, licenses, media, mixing, pii, sharding, similar, simhash, toxicity, vecdup
 from keelson.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -339,6 +340,83 @@ def test_probes_find_what_differs_within_the_threshold():
         assert groups or not want
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_large_near_groups_lose_no_link_and_are_not_paired(spark, monkeypatch, block):
+    """Copies of one text, many of them not alike enough: rows stay in proportion to the texts, all links count."""
+    monkeypatch.setattr(similar, "LEADERS", 2)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for at in rng.sample(range(3, 117), rng.choice([2, 3, 4])):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "a", 1))
+    df = spark.createDataFrame(rows, DOCS)
+    counts, write = [], similar.checkpoint
+    monkeypatch.setattr(similar, "checkpoint", lambda x: (out := write(x), counts.append(out.count()))[0])
+    got = {r.row for r in similar.heads(df, 0.99999).collect()}
+    sets = [similar.shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if group[i] != group[j] and 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    first = {}
+    for g, r in zip(group, rows):
+        first.setdefault(g, r)
+    assert 1 < len(first) < len(rows)
+    assert got == {hashlib.md5(f"{r[0]}|{r[1]}".encode()).digest() for r in first.values()}
+    if block == 4096:
+        assert max(counts) < 240 * 239 / 4
+
+
+def test_links_of_a_group_against_all_pairs():
+    rng = random.Random(6)
+    for trial in range(60):
+        pool = [rng.randrange(1 << 62) for _ in range(30)]
+        sets = [np.unique(np.array(rng.sample(pool, rng.choice([20, 24, 28])), np.int64)) for _ in range(rng.choice([2, 3, 12, 40]))]
+        c = np.array([rng.randrange(len(sets)) for _ in sets])
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))]
+
+        def parts(links):
+            group = {i: {i} for i in range(len(sets))}
+            for i, j in [*links, *((i, j) for i in range(len(sets)) for j in range(i) if c[i] == c[j])]:
+                group[i] |= group[j]
+                for k in group[i]:
+                    group[k] = group[i]
+            return {frozenset(g) for g in group.values()}
+
+        got = similar.joined(sets, c)
+        assert parts(got) == parts(near) and len(got) < len(sets)
+
+
+def test_scratch_removes_what_is_not_kept(spark):
+    paths = lambda df: {p.removeprefix("file://").rsplit("/", 1)[0] for p in df.inputFiles()}
+    with common.scratch() as keep:
+        with common.scratch() as inner:
+            one = common.checkpoint(spark.range(5))
+            two = inner(one.selectExpr("id + 1 AS id"))
+            gone, left = paths(one), paths(two)
+        assert not any(map(os.path.exists, gone)) and all(map(os.path.exists, left))
+        three = keep(two)
+    assert not any(map(os.path.exists, left))
+    assert sorted(r.id for r in three.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_stages_leave_no_tables_of_their_own(spark, docs):
+    import corpus_pipeline as P
+
+    before = set(os.listdir(at := common.shared_folder(spark).removeprefix("file://")))
+    n = P.drop_near_copies(spark, docs, SF).count()
+    assert 0 < n and len(set(os.listdir(at)) - before) == 1  # the rows that stay, until the stage's result is written
+    P.mix_sources(spark, docs, SF).count()
+    assert len(set(os.listdir(at)) - before) == 3  # numbered documents and their copies
+
+
 def test_mixing_stage_takes_what_the_mix_allots(spark):
     import corpus_pipeline as P
 
