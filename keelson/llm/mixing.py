@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, scratch
 
 #: Weights of the sources in order, repeating; share of all words to take; copies at most.
 WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2.0
 SALTS, BINS = 64, 4096
+#: Bytes of a table that is broadcast.
+SMALL = 8 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -90,32 +92,50 @@ def whole_part(copies: Column) -> Column:
     return F.floor(copies + 1e-9).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weight: Column | None = None, **plan) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, odds (p), copies, taken, and ``row_col`` if there is one.
-
-    weight: a positive number of each document; others, null and the weight of empty documents count as 1.
-    """
-    row = [row_col] if row_col else []
+def measured(text_col: str = "text", weight: Column | None = None) -> dict[str, Column]:
+    """size in words, class of the weight, checksum of the text."""
     size = n_words(F.col(text_col))
     heavy = F.sqrt(size.cast("double")) if weight is None else weight.cast("double")
     level = F.when(heavy > 0, F.greatest(F.lit(-128), F.least(F.lit(128), F.round(4 * F.log2(heavy))))).otherwise(0).cast("int")
-    sizes = checkpoint(docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.coalesce(level, F.lit(0)).alias("class"), F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")).alias("crc")))
-    most = plan.get("most", COPIES)
-    plan_rows = factors(sizes, targets(sizes, **plan), most).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    crc = F.crc32(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8"))
+    return {"size": size, "class": F.coalesce(level, F.lit(0)), "crc": crc}
+
+
+def drawn(rows: DataFrame, seed: int, most=COPIES) -> DataFrame:
+    """``rows`` (doc_id, size, class, crc and the source's factor) with whole copies, the odds p of one more, rank and its bins."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "crc"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    salted = sizes.withColumn("u", u).withColumn("salt", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(SALTS)).cast("int"))
-    right = plan_rows.withColumnRenamed("source", "source_").withColumnRenamed("salt", "salt_")
-    joined = salted.join(right, F.col("source").eqNullSafe(F.col("source_")) & (F.col("salt") == F.col("salt_"))).drop("source_", "salt_", "salt")
-    joined = joined.withColumn("copies", expected("factor", "class", most)).withColumn("whole", whole_part(F.col("copies")))
-    joined = joined.withColumn("p", F.when(F.col("copies") - F.col("whole") > 1e-9, F.col("copies") - F.col("whole")).otherwise(0.0)).drop("copies", "factor", "class")
+    rows = rows.withColumn("u", u).withColumn("copies", expected("factor", "class", most)).withColumn("whole", whole_part(F.col("copies")))
+    rows = rows.withColumn("p", F.when(F.col("copies") - F.col("whole") > 1e-9, F.col("copies") - F.col("whole")).otherwise(0.0)).drop("copies", "factor", "class")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     q = F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(1.0)
     fine = F.least(F.floor(q * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
-    ranked = checkpoint(joined.withColumn("rank", q).withColumn("fine", fine).withColumn("coarse", F.floor(fine / BINS).cast("long")))
+    return rows.withColumn("rank", q).withColumn("fine", fine).withColumn("coarse", F.floor(fine / BINS).cast("long"))
+
+
+def standing(b1: Column, b2: Column) -> Column:
+    """1: one more copy is taken, 0: it is not (p is 0: there is none to take), 2: the row lies in the last bin."""
+    return (
+        F.when(F.col("p") == 0, 0)
+        .when(b1.isNull() | (F.col("coarse") < b1), 1)
+        .when(F.col("coarse") > b1, 0)
+        .when(b2.isNull() | (F.col("fine") < b2), 1)
+        .when(F.col("fine") == b2, 2)
+        .otherwise(0)
+    )
+
+
+def decide(sizes: DataFrame, seed: int, row: list[str], **plan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sources with factor and last bins b1, b2 (null: not reached); rows that bins decide; rows of the last bins. ``in``: one more copy."""
+    most = plan.get("most", COPIES)
+    sources = checkpoint(factors(sizes, targets(sizes, **plan), most))
+    salted = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(SALTS)).cast("int"))
+    right = sources.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "source_")
+    joined = salted.join(right, F.col("source").eqNullSafe(F.col("source_")) & (F.col("salt") == F.col("salt_"))).drop("source_", "salt_", "salt")
+    ranked = checkpoint(drawn(joined, seed, most))
 
     def boundary(rows: DataFrame, bin_col: str, rest: str) -> DataFrame:
         """source, the bin in which ``rest`` words are reached, and what is left on entering it."""
-        sums = rows.groupBy("source", bin_col).agg(F.sum("size").alias("n"), F.first(rest).alias("rest"))
+        sums = rows.filter("p > 0").groupBy("source", bin_col).agg(F.sum("size").alias("n"), F.first(rest).alias("rest"))
         before = F.sum("n").over(Window.partitionBy("source").orderBy(bin_col)) - F.col("n")
         at = sums.withColumn("before", before).filter(F.col("before") + F.col("n") > F.col("rest"))
         return at.groupBy("source").agg(F.min(F.struct(F.col(bin_col), (F.col("rest") - F.col("before")).alias("left"))).alias("b"))
@@ -128,16 +148,8 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     first = checkpoint(boundary(ranked, "coarse", "rest"))
     rows = attach(ranked, first, "b1").withColumn("left1", F.when(F.col("coarse") == F.col("b1.coarse"), F.col("b1.left")))
     second = checkpoint(boundary(rows.filter("left1 is not null"), "fine", "left1"))
-    rows = attach(rows, second, "b2")
-    edge = (F.col("coarse") == F.col("b1.coarse")) & (F.col("fine") == F.col("b2.fine"))
-    state = (
-        F.when(F.col("b1").isNull() | (F.col("coarse") < F.col("b1.coarse")), 1)
-        .when(F.col("coarse") > F.col("b1.coarse"), 0)
-        .when(F.col("b2").isNull() | (F.col("fine") < F.col("b2.fine")), 1)
-        .when(edge, 2)
-        .otherwise(0)
-    )
-    rows = checkpoint(rows.withColumn("state", state).withColumn("left2", F.col("b2.left")).withColumn("part", F.spark_partition_id()).drop("b1", "b2", "left1"))
+    rows = attach(rows, second, "b2").withColumn("state", standing(F.col("b1.coarse"), F.col("b2.fine")))
+    rows = checkpoint(rows.withColumn("left2", F.col("b2.left")).withColumn("part", F.spark_partition_id()).drop("b1", "b2", "left1"))
     same = ["source", "rank", "doc_id", "crc", "size", "part"]
     last = rows.filter("state = 2").withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(*(row or ["size"]))))
     # rows that are repeated tie; one row stands for those of a partition
@@ -146,8 +158,45 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     fits = F.when(F.col("size") > 0, F.floor((F.col("left2") - run) / F.col("size") + 0.5)).otherwise(0)
     upto = ties.withColumn("upto", fits).select(*[F.col(c).alias(f"{c}_") for c in same], "upto")
     on = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in same]
-    chosen = rows.filter("state < 2").withColumn("in", F.col("state")).unionByName(
-        last.join(upto, on).withColumn("in", (F.col("nth") <= F.col("upto")).cast("int")).drop("nth", "upto", *[f"{c}_" for c in same])
-    )
-    copies = (F.col("whole") + F.when(F.col("p") > 0, F.col("in")).otherwise(0)).cast("long")
-    return chosen.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", F.col("p").alias("odds"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)
+    edge = last.join(upto, on).withColumn("in", (F.col("nth") <= F.col("upto")).cast("int")).drop("nth", "upto", *[f"{c}_" for c in same])
+    for found, b, bin_col in ((first, "b1", "coarse"), (second, "b2", "fine")):
+        found = found.select(F.col("source").alias("of_"), F.col(f"b.{bin_col}").alias(b))
+        sources = sources.join(found, F.col("source").eqNullSafe(F.col("of_")), "left").drop("of_")
+    return sources, rows.filter("state < 2").withColumn("in", F.col("state")), edge
+
+
+def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weight: Column | None = None, **plan) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, odds (p), copies, taken, and ``row_col`` if there is one.
+
+    weight: a positive number of each document; others, null and the weight of empty documents count as 1.
+    """
+    row = [row_col] if row_col else []
+    sizes = checkpoint(docs.select(*row, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *[c.alias(k) for k, c in measured(text_col, weight).items()]))
+    _, sure, edge = decide(sizes, seed, row, **plan)
+    copies = (F.col("whole") + F.col("in")).cast("long")
+    return sure.unionByName(edge).withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", F.col("p").alias("odds"), "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)
+
+
+def repeat(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, **plan) -> DataFrame:
+    """Each row of ``docs`` as often as ``mix`` takes it.
+
+    Texts are written once, beside their measures. What decides is a table of sources and of the rows of their last
+    bins; it is broadcast up to SMALL bytes, so that texts stay where they are. A larger one is met by row.
+    """
+    keys = {"row": F.monotonically_increasing_id(), "doc_id": F.col(id_col), "source": F.col(source_col)}  # rows of one doc_id, or of none, are told apart
+    rows = checkpoint(docs.select(F.struct(*docs.columns).alias("doc"), *[c.alias(k) for k, c in (keys | measured(text_col, weight)).items()]))
+    with scratch() as keep:
+        sources, sure, edge = decide(rows.drop("doc"), seed, ["row"], **plan)
+        known = checkpoint(sources.select("source", "factor", "b1", "b2").unionByName(edge.select("row", "in"), allowMissingColumns=True))
+        weighs = known.agg(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 100)).first()[0] or 0
+        if weighs <= SMALL:
+            known = keep(known.coalesce(1))
+            of = known.filter("row is null").select(F.col("source").alias("source_"), "factor", "b1", "b2")
+            tied = known.filter("row is not null").select("row", "in")
+            met = drawn(rows.join(F.broadcast(of), F.col("source").eqNullSafe(F.col("source_"))), seed, plan.get("most", COPIES))
+            taken = met.withColumn("state", standing(F.col("b1"), F.col("b2"))).join(F.broadcast(tied), "row", "left")
+            taken = taken.withColumn("copies", F.col("whole") + F.coalesce("in", "state"))
+        else:
+            copies = (F.col("whole") + F.col("in")).cast("long").alias("copies")
+            taken = rows.join(keep(sure.unionByName(edge).select("row", copies).filter("copies > 0")), "row")
+    return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("doc.*")

@@ -431,6 +431,46 @@ def test_mixing_stage_takes_what_the_mix_allots(spark):
         assert got == r.taken and abs(got - r.target) <= 10
 
 
+def test_mixing_stage_leaves_texts_where_they_are(spark, docs):
+    import corpus_pipeline as P
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the documents were many
+    try:
+        plan = P.mix_sources(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_repeat_gives_what_mix_takes(spark, odd, monkeypatch):
+    rng = random.Random(12)
+    some = [(None if k % 5 == 0 else k, " ".join(["w"] * rng.choice([0, 3, 9, 40])), "en", rng.choice(["a", "a", "a", "a", "b", None]), k) for k in range(600)]
+    tied = [(1, "a b c d", "en", "a", 7)] * 500 + [(2, "x y", "en", "b", 8)]
+    for df in (spark.createDataFrame(some + some[:50], DOCS).repartition(4), spark.createDataFrame(tied, DOCS).repartition(5), odd, odd.limit(0)):
+        df = df.cache()
+        want = {}
+        for r in mixing.mix(df).collect():
+            want[r.doc_id, r.source, r["size"]] = want.get((r.doc_id, r.source, r["size"]), 0) + r.copies
+        for small in (mixing.SMALL, 0):  # in place, and by row
+            monkeypatch.setattr(mixing, "SMALL", small)
+            got = mixing.repeat(df)
+            assert got.columns == df.columns
+            counts = {}
+            for r in got.withColumn("size", mixing.n_words(F.col("text"))).collect():
+                counts[r.doc_id, r.source, r["size"]] = counts.get((r.doc_id, r.source, r["size"]), 0) + 1
+            assert counts == {k: n for k, n in want.items() if n}
+        monkeypatch.undo()
+
+
+def test_rows_without_a_part_to_draw_are_not_put_in_order(spark):
+    rows = [(k, "w w w", "en", "b" if k < 300 else "a", 1) for k in range(9000)]  # all of b is taken twice
+    sizes = spark.createDataFrame(rows, DOCS).select("doc_id", "source", *[c.alias(k) for k, c in mixing.measured().items()])
+    _, sure, edge = mixing.decide(sizes, 7, [])
+    assert sure.count() + edge.count() == 9000 and edge.count() < 10
+    assert {r.whole for r in sure.filter("source = 'b'").collect()} == {2}
+
+
 def test_inclusion_odds_differ_and_rates_follow_them(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.choice([4, 16, 64, 256])), "en", "ab"[i % 2], 1) for i in range(4000)]
