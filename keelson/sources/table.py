@@ -131,7 +131,8 @@ class Table:
             name, n = meta["buckets"]
             df, parts = df.withColumn("_bucket", F.pmod(F.hash(stored[name]), F.lit(n))), [*parts, "_bucket"]
         if meta["keys"]:
-            df = df.sortWithinPartitions(*[stored[k] for k in meta["keys"]])  # tight row-group ranges
+            # tight row-group ranges; parts lead, or Spark would sort by them alone and drop this order
+            df = df.sortWithinPartitions(*parts, *[stored[k] for k in meta["keys"]])
         (df.write.partitionBy(*parts) if parts else df.write).option("compression", "zstd").parquet(path)
         written = self.spark.read.schema(df.schema).parquet(path)
         lead = meta["keys"][0] if meta["keys"] else None

@@ -370,3 +370,23 @@ def test_service_statements_sessions_and_results(spark):
     with pytest.raises(Exception):
         s.execute("SELECT * FROM t").collect()
     s.shutdown()
+
+
+def test_files_of_partitioned_tables_are_sorted_by_key(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(0, 4000, 1, 8).selectExpr("id AS k", "concat('p-of-this-row-', id % 3) AS p")
+    for n, how in enumerate(({"partition_by": ("p",)}, {"buckets": ("k", 3)})):
+        t = Table.create(spark, f"{scratch(spark)}/t{n}", df.schema, ["k"], **how)
+        t.upsert(df)
+        before = spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")  # one task reads several files
+        try:
+            t.delete(E.ge("k", 10))
+        finally:
+            spark.conf.set("spark.sql.files.openCostInBytes", before)
+        for f in glob.glob(f"{t.root.removeprefix('file://')}/data/**/*.parquet", recursive=True):
+            keys = pq.ParquetFile(f).read(columns=["k"])["k"].to_pylist()
+            assert keys == sorted(keys)
