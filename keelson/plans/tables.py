@@ -11,6 +11,7 @@ from ..functions import expr as E
 from ..operators import merging, routing
 from ..operators.service import SqlService, column_stats, histogram
 from ..sources.catalog import Catalog, scratch
+from ..sources.log import Files
 from ..sources.table import Table
 from ..streaming.sinks import upsert_sink
 from .flagship import flagship
@@ -484,14 +485,35 @@ def udtf_split(spark, sf_dir):
 
 # --- streams ---
 
-def _stream(spark, sf_dir, files: int = 4):
-    """events as a stream, in one micro-batch per file; event time as an instant (UTC)."""
-    folder = f"{scratch(spark)}/stream"
-    read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(folder)
-    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+#: Rows of a stream's file, which one task sorts.
+FILE_ROWS = 1_000_000
+
 
+def _stream(spark, sf_dir, batches: int = 4, rows: int | None = None, closing: str | None = None):
+    """events as a stream, in micro-batches in order of time; event time as an instant (UTC).
 
-def _drain(df: DataFrame, mode: str) -> DataFrame:
+    rows: of a micro-batch at most, about; large inputs have more of them. closing: a last row that
+    is null but for its time, that long after all others, so that the watermark passes these.
+    """
+    folder = f"{scratch(spark)}/stream"
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    n = events.count()
+    batches = max(batches, -(-n // rows)) if rows else batches
+    each = max(1, -(-n // (batches * FILE_ROWS)))
+    events.repartitionByRange(batches * each, "ts").sortWithinPartitions("ts").write.parquet(folder)
+    files, schema = Files(spark, folder), spark.read.parquet(folder).schema
+    written = lambda f: [f"{f}/{n}" for n in files.names(f) if n.startswith("part-")]
+    order = written(folder)
+    if closing:
+        end = spark.read.schema(schema).parquet(folder).agg((F.max("ts") + F.expr(f"INTERVAL {closing}")).alias("ts"))
+        end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(f"{folder}/closing")
+        order += written(f"{folder}/closing")
+    files.put_in_order(order)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", each).option("recursiveFileLookup", True).parquet(folder)
+
+
+def _drain(df: DataFrame, mode: str, stores: int | None = None) -> DataFrame:
+    """stores: parts of the state at most; each costs some time in each micro-batch, however little it holds."""
     spark = df.sparkSession
     base = scratch(spark)
     if mode == "complete":
@@ -499,7 +521,13 @@ def _drain(df: DataFrame, mode: str) -> DataFrame:
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
         q.awaitTermination()
         return spark.table(name)
-    q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        if stores:
+            spark.conf.set("spark.sql.shuffle.partitions", min(int(before), stores))
+        q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)  # the query took its own copy when it started
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
@@ -522,8 +550,10 @@ def stream_sliding(spark, sf_dir):
 
 @query("SELECT user_id, min(ts) AS start, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 def stream_session(spark, sf_dir):
-    agg = _stream(spark, sf_dir).groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return _drain(agg, "complete").select("user_id", _utc("w.start").alias("start"), "n")
+    """A session is written once the watermark has passed it, so state holds those of two micro-batches, not all."""
+    s = _stream(spark, sf_dir, rows=2_000_000, closing="1 DAY").withWatermark("ts", "0 seconds")
+    agg = s.groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return _drain(agg, "append", stores=24).select("user_id", _utc("w.start").alias("start"), "n")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS wrong, true AS some, true AS held_back")
@@ -547,7 +577,7 @@ def stream_dedupe(spark, sf_dir):
 def stream_upsert_sink(spark, sf_dir):
     """Events into a keyed table; the last of each user stays."""
     base = scratch(spark)
-    s = _stream(spark, sf_dir, files=1).select("user_id", "event_id", "value")
+    s = _stream(spark, sf_dir, batches=1).select("user_id", "event_id", "value")
     t = Table.create(spark, f"{base}/users", s.schema, ["user_id"])
     upsert_sink(s, t, "events", f"{base}/ckpt", order_by=F.col("event_id")).awaitTermination()
     return t.scan()

@@ -390,3 +390,41 @@ def test_files_of_partitioned_tables_are_sorted_by_key(spark):
         for f in glob.glob(f"{t.root.removeprefix('file://')}/data/**/*.parquet", recursive=True):
             keys = pq.ParquetFile(f).read(columns=["k"])["k"].to_pylist()
             assert keys == sorted(keys)
+
+
+def test_session_stream_gives_every_session_and_keeps_none(spark):
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    from keelson.plans.catalogue import QUERIES
+
+    held = []
+
+    class Watch(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            held.extend(o.numRowsTotal for o in event.progress.stateOperators)
+
+        def onQueryTerminated(self, event):
+            pass
+
+    watch = Watch()
+    spark.streams.addListener(watch)
+    try:
+        got = QUERIES["stream_session"](spark, "/root/testdata/sf0.01")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(watch)
+    assert got.agg(F.sum("n")).first()[0] == 10_000
+    assert held[-1] == 1 and max(held) < 0.6 * got.count()  # the closing row; sessions of two micro-batches of four
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_streams_take_files_in_order_of_time(spark):
+    from keelson.plans import tables
+
+    spans = []
+    q = tables._stream(spark, "/root/testdata/sf0.01").writeStream.foreachBatch(lambda b, n: spans.append(b.agg(F.min("ts"), F.max("ts")).first()))
+    q.option("checkpointLocation", f"{scratch(spark)}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    assert len(spans) == 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
