@@ -428,3 +428,14 @@ def test_streams_take_files_in_order_of_time(spark):
     q = tables._stream(spark, "/root/testdata/sf0.01").writeStream.foreachBatch(lambda b, n: spans.append(b.agg(F.min("ts"), F.max("ts")).first()))
     q.option("checkpointLocation", f"{scratch(spark)}/ckpt").trigger(availableNow=True).start().awaitTermination()
     assert len(spans) == 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_large_micro_batch_is_dealt_to_files_that_tasks_can_sort(spark, monkeypatch):
+    from keelson.plans import tables
+
+    monkeypatch.setattr(tables, "FILE_ROWS", 1500, raising=False)
+    seen = []
+    s = tables._stream(spark, "/root/testdata/sf0.01", 1).withColumn("file", F.input_file_name())
+    q = s.writeStream.foreachBatch(lambda b, n: seen.append((b.count(), b.select("file").distinct().count())))
+    q.option("checkpointLocation", f"{scratch(spark)}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(10_000, 7)]
