@@ -439,3 +439,49 @@ def test_large_micro_batch_is_dealt_to_files_that_tasks_can_sort(spark, monkeypa
     q = s.writeStream.foreachBatch(lambda b, n: seen.append((b.count(), b.select("file").distinct().count())))
     q.option("checkpointLocation", f"{scratch(spark)}/ckpt").trigger(availableNow=True).start().awaitTermination()
     assert seen == [(10_000, 7)]
+
+
+def test_data_source_merges_by_ranges_of_keys(spark, monkeypatch):
+    from collections import Counter
+
+    from keelson.sources import datasource
+
+    monkeypatch.setattr(datasource, "ROWS", 300, raising=False)
+    monkeypatch.setattr(datasource, "GROUP", 64, raising=False)
+    number = F.col("id").cast("long")
+    kinds = {
+        "long": ["k"], "text": ["t"], "float": ["f"], "hot": ["h", "k"], "instant": ["i"],
+    }
+    df = spark.range(0, 3000, 1, 3).select(
+        number.alias("k"), F.when(number != 7, F.format_string("k%05d", "id")).alias("t"), F.when(number == 9, F.lit(float("nan"))).when(number != 8, number / 7).alias("f"),
+        F.when(number > 5, F.lit(1)).alias("h"), F.timestamp_seconds(number * 100).alias("i"), F.lit("old").alias("v"))
+    for name, keys in kinds.items():
+        t = Table.create(spark, f"{scratch(spark)}/{name}", df.schema, keys)
+        t.upsert(df)
+        t.upsert(df.filter("k % 3 = 0 OR k < 10").withColumn("v", F.lit("new")))
+        t.delete(E.eq("v", "new") if name == "text" else E.in_("k", [8, 9, 11, 2000]))
+        source = datasource.KeelsonSource({"path": t.root})
+        reader = source.reader(source.schema())
+        parts = reader.partitions()
+        got = [[tuple(str(v) for v in r.values()) for b in reader.read(p) for r in b.select(["k", "t", "f", "h", "v"]).to_pylist()] for p in parts]
+        expected = Counter(tuple(str(v) for v in r) for r in t.scan().select("k", "t", "f", "h", "v").collect())
+        assert Counter(r for g in got for r in g) == expected
+        assert len(parts) > 5 and max(map(len, got)) < 900, name
+
+
+def test_data_source_writes_one_sorted_file_a_task(spark, kv, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from keelson.sources import datasource
+
+    monkeypatch.setattr(datasource, "ROWS", 100, raising=False)
+    source = datasource.KeelsonSource({"path": kv.root})
+    writer = source.writer(source.schema(), False)
+    batch = lambda n: pa.RecordBatch.from_pydict({"key": [f"k{(i * 37) % 450:03d}" for i in range(60 * n, 60 * n + 60)], "value": [str(n)] * 60})
+    done = writer.write(batch(n) for n in range(10))
+    keys = pq.read_table(done.file[0])["key"].to_pylist()
+    assert len(done.file) == 1 and keys == [f"k{i:03d}" for i in range(450)] and (done.low, done.high, done.rows) == (["k000"], ["k449"], [450])
+    writer.commit([done])
+    last = {f"k{(i * 37) % 450:03d}": str(i // 60) for i in range(600)}
+    assert rows(kv.scan()) == sorted(last.items())
